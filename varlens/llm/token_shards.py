@@ -14,6 +14,8 @@ The manifest has a row for each shard: its key range and totals. A key's shard c
 manifest, its cell from the hash, its ids from the cell: constant time at any size.
 """
 
+import itertools
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,7 +34,7 @@ from .words import Hasher, blocks, ranges, word_spans
 MAGIC, VERSION = b"VLTS", 1
 FOOTER = "<4sIIIQQQQ"
 NULL_KEY = -(2**63)
-CACHE_WORDS = 1 << 20
+SLOTS = 1 << 21
 MANIFEST = "shard int, path string, min_key long, max_key long, n_rows long, n_ids long"
 _coders: dict[str, "WordCoder"] = {}
 
@@ -41,43 +43,65 @@ class WordCoder:
     """Ids of whole texts from the ids of their words.
 
     Right for tokenizers whose normaliser and splitter never look across ASCII white space and drop it,
-    as the word-level BPE does. Each distinct word is encoded once by the tokenizers library and kept,
-    CACHE_WORDS of them at most.
+    as the word-level BPE does. A distinct word is encoded by the tokenizers library when it is first met
+    and kept in a table of SLOTS slots, two for each hash; a word that finds both taken is encoded again
+    in each block that has it.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[int, int] = {}
+        self.key, self.entry = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
         self.ids, self.off = np.zeros(0, f"<u{self.width}"), np.zeros(1, np.int64)
 
-    def learn(self, words: list[bytes], hashes: list[int]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        self.index.update(zip(hashes, range(len(self.off) - 1, len(self.off) - 1 + len(found))))
-        self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(size)])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), self.ids.dtype, int(size.sum()))])
+    def _slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (h & np.uint64(SLOTS - 1)).astype(np.int64), (h >> np.uint64(40) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash, -1 for one that isn't kept."""
+        a, b = self._slots(h)
+        return np.where(self.key[a] == h, self.entry[a], np.where(self.key[b] == h, self.entry[b], -1)).astype(np.int64)
+
+    def _keep(self, h: np.ndarray) -> np.ndarray:
+        """Claim a free slot for each of the distinct hashes; which ones got one."""
+        got = np.zeros(len(h), bool)
+        for slot in self._slots(h):
+            free = np.flatnonzero(~got & (self.key[slot] == 0))
+            self.key[slot[free]] = h[free]
+            got[free] = self.key[slot[free]] == h[free]
+        return got
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a block of texts, and each text's number of ids."""
         ws, we, wo = word_spans(buf, off)
-        distinct, first, of = np.unique(Hasher(buf)(ws, we), return_index=True, return_inverse=True)
-        if len(self.index) + len(distinct) > CACHE_WORDS:
-            self.forget()
-        keys = distinct.tolist()
-        missing = [i for i, k in enumerate(keys) if k not in self.index]
-        if missing:
-            raw = buf.tobytes()
-            self.learn([raw[ws[first[i]] : we[first[i]]] for i in missing], [keys[i] for i in missing])
-        entry = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))[of]
-        size = self.off[entry + 1] - self.off[entry]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        return self.ids[ranges(self.off[entry], size)], np.diff(upto[wo])
+        h = Hasher(buf)(ws, we)
+        entry = self._find(h)
+        missing = np.flatnonzero(entry < 0)
+        ids, upto = self.ids, self.off
+        if len(missing):
+            new, first, of = np.unique(h[missing], return_index=True, return_inverse=True)
+            kept = self._keep(new)
+            order = np.argsort(~kept, kind="stable")
+            raw, at = buf.tobytes(), missing[first[order]]
+            words = [raw[a:b].decode() for a, b in zip(ws[at].tolist(), we[at].tolist())]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(found), ids.dtype, int(size.sum()))])
+            upto = np.concatenate([upto, upto[-1] + np.cumsum(size)])
+            rank = np.empty(len(new), np.int64)
+            rank[order] = len(self.off) - 1 + np.arange(len(new))
+            entry[missing] = rank[of]
+            for slot in self._slots(new):
+                own = np.flatnonzero(self.key[slot] == new)
+                self.entry[slot[own]] = rank[own]
+            self.off = upto[: len(self.off) + int(kept.sum())]
+            self.ids = ids[: self.off[-1]]
+        size = upto[entry + 1] - upto[entry]
+        whole = np.concatenate([[0], np.cumsum(size)])
+        return ids[ranges(upto[entry], size)], np.diff(whole[wo])
 
 
 def coder(path: str) -> WordCoder:
