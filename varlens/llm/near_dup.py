@@ -6,9 +6,9 @@ a register with the chance of their probability Jaccard similarity. A shingle st
 arrival is later than all registers, so a text of n shingles takes about n + REGISTERS ln(REGISTERS)
 arrivals. Bands of ROWS registers give buckets, and pairs from buckets are verified on the shingle sets.
 
-A bucket is never expanded into all its pairs: each member is compared with the bucket's least member,
-and what that leaves apart is compared across the components found so far, so that any two texts of a
-bucket that are similar end in one class.
+A bucket is not expanded into all its pairs. In each turn every bucket draws a leader, and members of
+other components are compared with it. What then is left in different components is compared in full,
+block by block, so that any two texts of a bucket that are similar end in one class.
 """
 
 from collections.abc import Iterator
@@ -26,6 +26,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 36, 7
 REGISTERS = BANDS * ROWS
 BLOCK = 1 << 20
+#: Turns of comparing with leaders go on, TURNS at most, while each leaves GAIN of the pairs apart or fewer.
+TURNS, GAIN = 4, 0.7
+MEMBERS, COLUMNS = 128, 1 << 13
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,25 +124,25 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = np.sort(np.concatenate([x, y]))
             common = int((both[1:] == both[:-1]).sum())
             keep.append(common >= SIMILARITY * (len(both) - common))
-        yield pa.record_batch([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield pa.record_batch([a, b], ["ca", "cb"]).filter(pa.array(keep, pa.bool_()))
 
 
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
+    """The components (ca, cb) of those pairs (a, b, ca, cb) whose shingle sets have a Jaccard similarity of SIMILARITY or more."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = rows.join(small(wanted), "node", "left_semi").groupBy("node").agg(F.first("shingle_set").alias("s"))
     sets = written(sets, "shingle-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_similar, "a long, b long")
+    return written(both.select("ca", "cb", "sa", "sb").mapInArrow(_similar, "ca long, cb long").distinct(), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of all nodes of edges (a, b): comp is the component's least node.
+    """(node, comp) of all nodes of edges (two columns): comp is the component's least node.
 
     Alternating large-star and small-star steps. Each step's edges are a written table, so a lost
     executor costs that step alone; no component is ever gathered in one task but as a grouped minimum.
     """
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    edges = written(edges.select(F.greatest(*edges.columns).alias("a"), F.least(*edges.columns).alias("b")).where("a <> b").distinct(), "edges")
     while True:
         ways = edges.union(edges.select("b", "a"))
         least = ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -156,6 +159,74 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(edges.select("b", "b")).distinct()
 
 
+def beside_leaders(placed: DataFrame, turn: int) -> DataFrame:
+    """For each bucket one pseudo-random leader, and each member of another component beside it: (a, b, ca, cb)."""
+    draw = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("comp").alias("cb"))).alias("l")
+    leaders = placed.groupBy("key").agg(draw, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", "l.b", "l.cb")
+    pairs = placed.join(leaders, "key").where("comp <> cb").select(F.col("node").alias("a"), "b", F.col("comp").alias("ca"), "cb")
+    return written(pairs.distinct(), "leader-pairs")
+
+
+def left_apart(placed: DataFrame) -> int:
+    """Pairs within a bucket whose components differ, counted without listing them."""
+    each = placed.groupBy("key", "comp").agg(F.count("*").cast("double").alias("n"))
+    pairs = each.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("p"))
+    return int(pairs.agg(F.sum("p")).first()[0] or 0)
+
+
+PAIRED = "key long, i int, j int, side int, comp long, shingle_set binary"
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """The components of similar pairs between two blocks of a bucket's members (or within one).
+
+    The common shingles of all pairs are counted as products of 0/1 matrices, some columns at a time.
+    """
+    side, comp = np.asarray(table["side"].combine_chunks()), np.asarray(table["comp"].combine_chunks())
+    sets = [np.frombuffer(x.as_buffer(), "<u4") for x in table["shingle_set"].combine_chunks()]
+    size = np.array([len(x) for x in sets])
+    every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(every, kind="stable")
+    every, of = every[order], of[order]
+    column = np.cumsum(np.diff(every, prepend=every[:1]) != 0)
+    left, right = np.flatnonzero(side <= 0), np.flatnonzero(side != 0 if (side > 0).any() else side <= 0)
+    common = np.zeros((len(left), len(right)), np.float32)
+    for c in range(0, int(column[-1]) + 1, COLUMNS):
+        a, b = np.searchsorted(column, [c, c + COLUMNS])
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[of[a:b], column[a:b] - c] = 1
+        common += m[left] @ m[right].T
+    x, y = np.nonzero((common >= SIMILARITY * (size[left][:, None] + size[right][None, :] - common)) & (comp[left][:, None] != comp[right][None, :]))
+    pairs = np.unique(np.stack([comp[left][x], comp[right][y]], 1), axis=0)
+    return pa.table({"ca": pa.array(pairs[:, 0]), "cb": pa.array(pairs[:, 1])})
+
+
+def across(placed: DataFrame, rows: DataFrame) -> DataFrame:
+    """The components (ca, cb) of all similar pairs within the buckets that hold more than one component.
+
+    A bucket's members are dealt into blocks of about MEMBERS, and each pair of blocks is one group: no
+    pair of members is ever a row, and no task holds a bucket.
+    """
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high")
+    some = written(placed.join(mixed.select("key", "n"), "key"), "mixed-buckets")
+    sets = rows.join(small(some.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.first("shingle_set").alias("shingle_set"))
+    blocks_ = F.ceil(F.col("n") / MEMBERS).cast("int")
+    some = some.withColumn("blocks", blocks_).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    some = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(low == high, 0).when(F.col("own") == low, -1).otherwise(1)
+    some = some.select("key", low.alias("i"), high.alias("j"), side.alias("side"), "comp", "node").join(sets, "node").drop("node")
+    return written(some.groupBy("key", "i", "j").applyInArrow(_block_links, "ca long, cb long").distinct(), "links")
+
+
+def joined(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """placed with the components that links (ca, cb) join put together."""
+    if links.isEmpty():
+        return placed
+    roots = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+    return written(placed.join(roots, "comp", "left").select("key", "node", F.coalesce("root", "comp").alias("comp")), "bucket-members")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, node, class_id (least doc_id of the class), class_size and kept for each row of docs.
 
@@ -166,23 +237,17 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     rows = written(signed(docs), "signatures")
     members = rows.select("node", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("key", "leader")
-    inside = written(members.join(buckets, "key").distinct(), "bucket-members")
-    edges = written(verified(inside.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), rows), "links")
-    comp = written(components(edges), "components")
-    of = lambda name: comp.select(F.col("node").alias(name), F.col("comp").alias(f"{name}_comp"))
-    placed = inside.join(of("node"), "node", "left").join(of("leader"), "leader", "left")
-    placed = placed.select("key", "node", F.coalesce("node_comp", "node").alias("comp"), F.coalesce("leader_comp", "leader").alias("leader_comp"))
-    apart = written(placed.where("comp <> leader_comp").select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), "apart")
-    if not apart.isEmpty():
-        sizes = rows.join(apart.select("key").distinct().join(inside, "key").select("node").distinct(), "node", "left_semi").select("node", "n_shingles").distinct()
-        left = apart.join(sizes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na")), "a")
-        right = placed.join(apart.select("key").distinct(), "key", "left_semi").join(sizes, "node").select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n_shingles").alias("nb"))
-        pairs = left.join(right, "key").where(f"ca <> cb AND least(na, nb) >= {SIMILARITY} * greatest(na, nb)")
-        pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "apart-pairs")
-        more = written(verified(pairs, rows), "more-links")
-        if not more.isEmpty():
-            comp = written(components(edges.union(more)), "components")
+    buckets = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    placed = written(members.join(buckets, "key", "left_semi").distinct().withColumn("comp", F.col("node")), "bucket-members")
+    ahead = left_apart(placed)
+    for turn in range(TURNS):
+        placed, before = joined(placed, verified(beside_leaders(placed, turn), rows)), ahead
+        ahead = left_apart(placed)
+        if ahead > GAIN * before or not ahead:
+            break
+    if ahead:
+        placed = joined(placed, across(placed, rows))
+    comp = placed.select("node", "comp").distinct()
     own = rows.select("doc_id", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("n")))
     heads = own.groupBy("comp").agg(first.alias("first"), F.count("*").alias("class_size"))
