@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, near_dup, quality, secrets, segment, sharding, token_shards
+from . import chat, decontaminate, language, near_dup, quality, secrets, segment, sharding, token_shards
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -51,6 +51,12 @@ def op6_gumbel_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.sample_segmentations(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.windows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)))
+
+
 def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
@@ -62,7 +68,7 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_ledger, op2_token_shards, op3_language, op4_spaced_seeds, op5_secret_scan, op6_gumbel_segments, op8_probminhash, op10_virtual_slots)}
+    return {f.__name__: f for f in (op1_quality_ledger, op2_token_shards, op3_language, op4_spaced_seeds, op5_secret_scan, op6_gumbel_segments, op7_chat_windows, op8_probminhash, op10_virtual_slots)}
 
 
 OP1_SQL = r"""
