@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, near_dup, quality, secrets, segment, sharding, token_shards
+from . import chat, decontaminate, hmm, language, near_dup, quality, secrets, segment, sharding, token_shards
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -61,6 +61,10 @@ def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
 
+def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"), id_remainder(7) != 2).drop("row")
+
+
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = sharding.first_map(8)
     rows = sharding.shard_rows(table(spark, sf_dir, "documents"), current, sharding.grown(current))
@@ -68,7 +72,7 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_ledger, op2_token_shards, op3_language, op4_spaced_seeds, op5_secret_scan, op6_gumbel_segments, op7_chat_windows, op8_probminhash, op10_virtual_slots)}
+    return {f.__name__: f for f in (op1_quality_ledger, op2_token_shards, op3_language, op4_spaced_seeds, op5_secret_scan, op6_gumbel_segments, op7_chat_windows, op8_probminhash, op9_hidden_markov, op10_virtual_slots)}
 
 
 OP1_SQL = r"""

@@ -130,3 +130,33 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     """The values, sorted, that occur in keys more than once."""
     s = np.sort(keys)
     return np.unique(s[1:][s[1:] == s[:-1]])
+
+
+class Lookup:
+    """Places of fixed 64-bit keys, by their top bits; keys that share a slot are searched."""
+
+    def __init__(self, keys: np.ndarray, bits: int = 20):
+        self.key, self.drop = np.asarray(keys, np.uint64), np.uint64(64 - bits)
+        n, top = len(self.key), (self.key >> self.drop).astype(np.int64)
+        self.slot = np.full(1 << bits, -1, np.int32)
+        self.slot[top[::-1]] = np.arange(n)[::-1]
+        rest = np.flatnonzero(self.slot[top] != np.arange(n))
+        self.rest = rest[np.argsort(self.key[rest])]
+        self.crowded = np.zeros(1 << bits, bool)
+        self.crowded[top[self.rest]] = True
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash among the keys, -1 for others."""
+        if not len(self.key):
+            return np.full(len(h), -1)
+        top = (h >> self.drop).astype(np.int64)
+        at = self.slot[top].astype(np.int64)
+        is_ = (at >= 0) & (self.key[at] == h)
+        look = np.flatnonzero(~is_ & self.crowded[top])
+        at[~is_] = -1
+        if len(look):
+            k = self.key[self.rest]
+            p = np.minimum(np.searchsorted(k, h[look]), len(k) - 1)
+            hit = k[p] == h[look]
+            at[look[hit]] = self.rest[p[hit]]
+        return at
