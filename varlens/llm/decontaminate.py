@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small, written
+from .scratch import fresh, small, written
 from .words import LOWER, STEP, Hasher, blocks, mix, ranges, word_spans
 
 #: Fixed masks: each selects six tokens; together they survive a substitution at any place of a passage of 13.
@@ -183,6 +183,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that overlap no item, with the columns of docs."""
-    found = written(overlaps(docs, items).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct(), "contaminated")
-    rows = docs.withColumn("_hash", text_hash())
-    return rows.join(small(found), rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["_hash"] == F.col("_text")), "left_anti").drop("_hash")
+    id_, text, hash_ = fresh(docs, "id", "text_hash", "hash")
+    found = written(overlaps(docs, items).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(text)).distinct(), "contaminated")
+    rows = docs.withColumn(hash_, text_hash())
+    return rows.join(small(found), rows["doc_id"].eqNullSafe(F.col(id_)) & (rows[hash_] == F.col(text)), "left_anti").drop(hash_)

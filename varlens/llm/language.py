@@ -121,6 +121,10 @@ def lettered(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return plain
 
 
+#: The columns that predict() adds.
+ADDED = ("lang_pred", "score")
+
+
 def predict(docs: DataFrame, f: Filters | None) -> DataFrame:
     """docs with lang_pred and score (0 to 1), which depend on the text alone.
 
@@ -130,7 +134,6 @@ def predict(docs: DataFrame, f: Filters | None) -> DataFrame:
     """
     if f is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
-    name = pa.array(f.langs)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +145,7 @@ def predict(docs: DataFrame, f: Filters | None) -> DataFrame:
                 score.append(np.where(ok, s, 0.0))
             best, score = np.concatenate(best), np.concatenate(score)
             lang = pa.array([f.langs[i] if i >= 0 else "und" for i in best], pa.string())
-            yield pa.record_batch([*batch.columns, lang, pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.record_batch([*batch.columns, lang, pa.array(score, pa.float64())], [*batch.schema.names, *ADDED])
 
-    keep = docs.drop("lang_pred", "score")
+    keep = docs.drop(*ADDED)
     return keep.mapInArrow(task, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields) + ", lang_pred string, score double")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small, written
+from .scratch import fresh, small, written
 from .words import STEP, Hasher, blocks, mix, ranges, windows, word_spans
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -258,10 +258,11 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs that classes() keeps, one of each class, with the columns of docs."""
-    kept = written(classes(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).groupBy("_id", "_node").agg(F.count("*").alias("_n")), "kept")
-    rows = docs.withColumn("_hash", text_hash())
-    on = rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["_hash"] == F.col("_node"))
-    out = rows.join(small(kept.select("_id", "_node")), on, "left_semi")
-    if not kept.where("_n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "_hash"])
-    return out.drop("_hash")
+    id_, node, many, hash_ = fresh(docs, "id", "node", "many", "hash")
+    kept = classes(docs).where("kept").groupBy(F.col("doc_id").alias(id_), F.col("node").alias(node)).agg(F.count("*").alias(many))
+    kept = written(kept, "kept")
+    rows = docs.withColumn(hash_, text_hash())
+    out = rows.join(small(kept.select(id_, node)), rows["doc_id"].eqNullSafe(F.col(id_)) & (rows[hash_] == F.col(node)), "left_semi")
+    if not kept.where(F.col(many) > 1).isEmpty():
+        out = out.dropDuplicates(["doc_id", hash_])
+    return out.drop(hash_)

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import small, written
+from .scratch import fresh, small, written
 
 #: Sixteen or more characters of keys and encodings, with a digit or a mix of cases.
 _CHARS = "A-Za-z0-9+/_="
@@ -147,13 +147,13 @@ def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
 
 def redacted(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """docs with every secret replaced by REDACTED, and n_chars (where docs has it) brought up to date."""
-    found = scan(docs, findings).where("is_secret").groupBy("doc_id", "text_hash").agg(F.collect_set("ordinal").alias("_at"))
-    found = written(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), "_at"), "secrets")
-    rows = docs.withColumn("_hash", text_hash())
-    rows = rows.join(small(found), rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["_hash"] == F.col("_text")), "left")
-    clean = F.array_join(F.transform(marked(F.col("text")), lambda x, i: F.when(F.array_contains("_at", i), F.concat(F.lit(REDACTED), F.substring_index(x, CLOSE, -1))).otherwise(F.translate(x, CLOSE, ""))), "")
-    out = {"text": F.when(F.col("_at").isNull(), F.col("text")).otherwise(clean)}
-    rows = rows.withColumns(out)
+    id_, text, hash_, at = fresh(docs, "id", "text_hash", "hash", "at")
+    found = scan(docs, findings).where("is_secret").groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(text)).agg(F.collect_set("ordinal").alias(at))
+    found = written(found, "secrets")
+    rows = docs.withColumn(hash_, text_hash())
+    rows = rows.join(small(found), rows["doc_id"].eqNullSafe(F.col(id_)) & (rows[hash_] == F.col(text)), "left")
+    part = lambda x, i: F.when(F.array_contains(at, i), F.concat(F.lit(REDACTED), F.substring_index(x, CLOSE, -1))).otherwise(F.translate(x, CLOSE, ""))
+    rows = rows.withColumn("text", F.when(F.col(at).isNull(), F.col("text")).otherwise(F.array_join(F.transform(marked(F.col("text")), part), "")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_at").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        rows = rows.withColumn("n_chars", F.when(F.col(at).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return rows.select(*docs.columns)
