@@ -109,9 +109,9 @@ def windows(h: np.ndarray, word_off: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[0], starts[0]+1, ... (counts[0] of them), starts[1], ..."""
-    ends = np.cumsum(counts)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total) + np.repeat(np.asarray(starts) - (ends - counts), counts)
+    out = np.repeat(np.asarray(starts) - (np.cumsum(counts) - counts), counts)
+    out += np.arange(len(out))
+    return out
 
 
 def member(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
