@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 #: Order in which hex digit pairs of a GUID's text follow those of its mixed-endian bytes (fixed value).
 _GUID_PAIRS = (3, 2, 1, 0, None, 5, 4, None, 7, 6, None, 8, 9, None, 10, 11, 12, 13, 14, 15)
 #: Hex of a valid UTF-16LE name: no NUL unit, every surrogate in a pair (fixed value).
-UTF16_NAME = r"^(?:(?!0000)[0-9A-F]{2}(?!D[89A-F])[0-9A-F]{2}|[0-9A-F]{2}D[89AB][0-9A-F]{2}D[C-F][0-9A-F]{2})+$"
+UTF16_NAME = r"^(?:(?!0000)[0-9A-F]{2}(?!D[89A-F])[0-9A-F]{2}|[0-9A-F]{2}D[89AB][0-9A-F]{2}D[C-F])+$"
 
 
 def span(data: Column | str, offset: Column | int, size: Column | int) -> Column:
@@ -96,10 +96,14 @@ def efi_time(data: Column, offset: Column | int) -> Column:
     return F.struct(*[uint(data, at(o), n).cast("int").alias(name) for name, o, n in parts])
 
 
+def time_is_zero(t: Column) -> Column:
+    """The time of a platform without a clock."""
+    return t["year"] + t["month"] + t["day"] + t["hour"] + t["minute"] + t["second"] + t["nanosecond"] + t["zone"] + t["daylight"] == 0
+
+
 def time_is_valid(t: Column) -> Column:
-    """In range by field (31 February included), GMT, paddings zero."""
-    ranges = (("month", 1, 12), ("day", 1, 31), ("hour", 0, 23), ("minute", 0, 59), ("second", 0, 59), ("nanosecond", 0, 999_999_999))
-    ok = t["year"].between(1900, 9999)
-    for name, low, high in ranges:
+    """In range field by field; 31 February is."""
+    ok = t["year"].between(1900, 9999) & (t["daylight"] <= 1)
+    for name, low, high in (("month", 1, 12), ("day", 1, 31), ("hour", 0, 23), ("minute", 0, 59), ("second", 0, 59), ("nanosecond", 0, 999_999_999)):
         ok = ok & t[name].between(low, high)
-    return ok & (t["zone"] == 0) & (t["daylight"] == 0) & (t["pad1"] == 0) & (t["pad2"] == 0)
+    return ok & ((t["zone"] == 2047) | (t["zone"] <= 1440) | (t["zone"] >= 65536 - 1440))
