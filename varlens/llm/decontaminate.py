@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from .scratch import fresh, small, written
 from .words import LOWER, STEP, Hasher, blocks, mix, ranges, word_spans
 
-#: Fixed masks: each selects six tokens; together they survive a substitution at any place of a passage of 13.
-MASKS = ("111011001", "110100110001", "101110010011", "11001011010")
+#: Fixed masks: each selects six tokens. The one without gaps finds passages with one substitution in seven or more, the others denser ones.
+MASKS = ("111111", "111011001", "110100110001", "1100101101")
 #: An overlap counts from this many equal tokens (a shorter item: all of its own), with this share of equal ones.
-LEAST_EQUAL, LEAST_SHARE = 12, 0.8
+LEAST_EQUAL, LEAST_SHARE, LEAST_ITEM = 12, 0.8, 9
 #: Along a diagonal an equal token adds 1 and another takes PENALTY; the best stretch is the overlap.
-PENALTY = 3
+PENALTY = 2
 BLOOM_BITS, BLOOM_HASHES = 1 << 24, 3
 
 OUTSIDE = np.ones(256, bool)
@@ -121,13 +121,19 @@ def _segments(bloom: np.ndarray, margin: int):
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
-    """(equal tokens, tokens, first place) of the best stretch of two sequences of equal length."""
+    """(equal tokens, tokens, first place) of the best stretch of two sequences of equal length.
+
+    Of stretches with equal scores the longest counts, if its share of equal tokens will do, else the shortest.
+    """
     same = x == y
     score = np.concatenate([[0], np.cumsum(np.where(same, 1, -PENALTY))])
-    low = np.minimum.accumulate(score)
-    end = int((score - low).argmax())
-    start = int(np.flatnonzero(score[: end + 1] == low[end])[-1])
-    return int(same[start:end].sum()), end - start, start
+    gain = score - np.minimum.accumulate(score)
+    ends = np.flatnonzero(gain == gain.max())
+    found = []
+    for end, pick in ((ends[-1], 0), (ends[0], -1)):
+        start = int(np.flatnonzero(score[: end + 1] == score[: end + 1].min())[pick])
+        found.append((int(same[start:end].sum()), int(end) - start, start))
+    return found[0] if found[0][0] >= LEAST_SHARE * found[0][1] else found[1]
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +146,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, d = max(0, int(diag[i])), int(diag[i])
             n = min(len(x), d + len(y)) - a
             equal, size, start = overlap(x[a : a + n], y[a - d : a - d + n])
-            if equal >= min(LEAST_EQUAL, len(y)) and equal >= LEAST_SHARE * size:
+            if len(y) >= LEAST_ITEM and equal >= min(LEAST_EQUAL, len(y)) and equal >= LEAST_SHARE * size:
                 keep.append(i)
                 for column, v in zip(out, (equal, size, int(first[i]) + a + start, len(y))):
                     column.append(v)
@@ -155,8 +161,7 @@ def text_hash() -> F.Column:
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, n_equal, n_tokens, first_token, item_tokens: the best overlap of each pair that has one.
 
-    Items of fewer tokens than the shortest mask give no seeds and match nothing, as do null and empty
-    texts on either side. Repeated rows of either table give the pair once. An empty table gives no rows.
+    Items of fewer than LEAST_ITEM tokens match nothing, as do null and empty texts on either side. Repeated rows of either table give the pair once. An empty table gives no rows.
     """
     spark = docs.sparkSession
     items = written(items.select("item_id", "text"), "items")
