@@ -248,12 +248,15 @@ def classes(docs: DataFrame) -> DataFrame:
     if ahead:
         placed = joined(placed, across(placed, rows))
     comp = placed.select("node", "comp").distinct()
-    own = rows.select("doc_id", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("n")))
-    heads = own.groupBy("comp").agg(first.alias("first"), F.count("*").alias("class_size"))
-    out = own.join(heads, "comp")
-    kept = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("node") == F.col("first.n"))
-    return out.select("doc_id", "node", F.col("first.id").alias("class_id"), "class_size", kept.alias("kept"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("first")
+    nodes = rows.groupBy("node").agg(first, F.count("*").alias("n"))  # copies are counted before anything is dealt by class
+    nodes = nodes.join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), "first", "n")
+    nodes = written(nodes, "nodes")
+    heads = nodes.groupBy("comp").agg(F.min(F.struct("first", "node")).alias("head"), F.sum("n").alias("class_size"))
+    placed = written(nodes.select("node", "comp").join(heads, "comp").select("node", F.col("head.first.id").alias("class_id"), F.col("head.node").alias("kept_node"), "class_size"), "classes")
+    out = rows.select("doc_id", "node").join(placed, "node")
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("kept_node"))
+    return out.select("doc_id", "node", "class_id", "class_size", kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
