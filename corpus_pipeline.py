@@ -19,6 +19,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     The filters learn as in op3: from the rows of docs with a lang and an id remainder other than 0.
     Null, empty and letterless texts go; where no row has a lang, nothing is learned and all rows go.
     """
+    scratch.small_batches(spark)
     filters = language.fit(docs, queries.id_remainder(5) != 0)
     taken = {c: n for c, n in zip(language.ADDED, scratch.fresh(docs, *language.ADDED)) if c in docs.columns}
     found = language.predict(docs.withColumnsRenamed(taken), filters)

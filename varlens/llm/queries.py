@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, hmm, language, near_dup, quality, secrets, segment, sharding, token_shards
 
+from .scratch import small_batches
+
 TOKENIZERS = "/opt/tokenizers"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

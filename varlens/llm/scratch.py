@@ -48,3 +48,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
             name = f"_{name}"
         out.append(name)
     return out
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Give Arrow batches of texts fewer rows than the default, which a session may have set otherwise: some texts are long."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
