@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varlens.functions import wire
-from varlens.operators import efvs, flash, replay
+from varlens.operators import efvs, flash, replay, views
 from varlens.sources import images as sources
 
 GUID = bytes(range(16))
@@ -108,3 +108,29 @@ def test_wire_functions(spark):
     assert (got.u2, got.u4, got.u8, got.past) == (0x0201, 0x05040302, str(int.from_bytes(bytes(range(9, 17)), "little")), None)
     assert (got.g, got.a, got.le, got.al, got.lone, got.ok, got.full) == ("8be4df61-93ca-11d2-aa0d-00e098032b8c", 127, "02010000", 16, False, True, True)
     assert got["sum"] == sum(struct.unpack("<8H", bytes(range(1, 17)))) % 65536
+
+
+def test_checked_append(spark, encoded):
+    name = lambda s: s.encode("utf-16-le")
+    start = 2 * 512 + 2 * 1024
+    torn = encoded[: start + 600] + b"\x07" + encoded[start + 601 :]
+    df = table(spark, [encoded, torn])
+    rows = [(i, k, *r) for i in ("0", "1") for k, r in enumerate([("SET", 7, GUID, name("key"), b"three"), ("DELETE", 7, GUID, name("none"), b""), ("SET", 3, GUID, name("boot"), b"x"), ("APPEND", 71, GUID, name("new"), b"!"), ("SET", 7, GUID, name("big"), b"y" * 5000)])]
+    changes = spark.createDataFrame(rows, "image_id string, place long, op string, attributes long, guid binary, name_wire binary, data binary")
+    images, outcomes = efvs.appended(df, changes)
+    got = {(r.image_id, r.place): r.error for r in outcomes.collect()}
+    assert got == {**{("0", k): e for k, e in enumerate(("OK", "NotFound", "WriteProtected", "OK", "Full"))}, **{("1", k): "Record" for k in range(5)}}
+    live = replay.window_live(efvs.mutations(images).where("image_id = '0'"))
+    assert {bytes.fromhex(r.name).decode("utf-16-le"): bytes.fromhex(r.data) for r in live.collect()} == {"key": b"three", "new": b"n!"}
+    after = {r.image_id: bytes(r.content) for r in images.collect()}
+    assert after["1"] == torn and after["0"][:start] == encoded[:start]
+
+
+def test_reclaim(spark):
+    body = flash_record(0x3E, "a", b"old") + flash_record(0x3F, "a", b"new") + flash_record(0x3C, "b", b"x") + flash_record(0x3E, "c", b"t")
+    df = table(spark, [flash_image(body)])
+    areas = flash.stores(df)
+    live = views.resolve(flash.records(df, areas).withColumnRenamed("name_wire", "name")).select("image_id", F.col("rec_offset").alias("place"), "attributes", "guid", F.col("name").alias("name_wire"), "data")
+    out = flash.rewritten(df, areas, live)
+    rows = flash.records(out.select("image_id", "content"), flash.stores(out.select("image_id", "content"))).orderBy("rec_offset").collect()
+    assert [(r.status, r.state, bytes(r.data)) for r in rows] == [("OK", 0x3F, b"new"), ("OK", 0x3F, b"t")]

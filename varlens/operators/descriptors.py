@@ -3,6 +3,7 @@
 import struct
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,26 +71,79 @@ def auth2(payload: Column) -> Column:
     return F.struct(F.when(status == "OK", wire.efi_time(payload, 0)).alias("time"), F.when(status == "OK", F.substring(payload, F.lit(41), (size - 24).cast("int"))).alias("certificate"), tail(size + 16).alias("value"), status.alias("status"))
 
 
+AUTH3 = "kind string, time binary, nonce binary, updates_certificate boolean, value binary, status string"
+
+
+def _certificate_end(data: bytes, at: int) -> tuple[int, str | None]:
+    if len(data) - at < 4:
+        return at, "Truncated"
+    (size,) = struct.unpack_from("<I", data, at)
+    block = data[at : at + size]
+    if size < 24:
+        return at, "Length"
+    if len(block) < size:
+        return at, "Truncated"
+    revision, kind = struct.unpack_from("<HH", block, 4)
+    if revision != REVISION:
+        return at, "Invalid"
+    if kind != EFI_GUID_KIND:
+        return at, "CertificateType"
+    if size == 24:
+        return at, "Length"
+    return at + size, None if block[8:24].hex().upper() == PKCS7 else "CertificateType"
+
+
+def _plain_time(t: bytes) -> bool:
+    """A time without pads, nanoseconds, zone and daylight: zero or in range."""
+    year, month, day, hour, minute, second = struct.unpack_from("<HBBBBB", t)
+    return not any(t[7:]) and (not any(t) or (1900 <= year <= 9999 and 1 <= month <= 12 and 1 <= day <= 31 and hour < 24 and minute < 60 and second < 60))
+
+
+def _enhanced(data: bytes) -> tuple:
+    """One enhanced descriptor; its parts lie one behind the other, each telling its size."""
+    bad = lambda status: (None, None, None, None, None, status)
+    if len(data) < 10:
+        return bad("Truncated")
+    version, kind, size, flags = struct.unpack_from("<BBII", data)
+    if version != 1 or kind not in (1, 2) or flags > 1:
+        return bad("Invalid")
+    if size < 10:
+        return bad("Length")
+    if size > len(data):
+        return bad("Truncated")
+    head, time, nonce = data[:size], None, None
+    if kind == 1:
+        time, at = head[10:26], 26
+        if len(time) < 16:
+            return bad("Truncated")
+        if not _plain_time(time):
+            return bad("TimeStamp")
+    else:
+        count = int.from_bytes(head[10:14], "little")
+        nonce, at = head[14 : 14 + count], 14 + count
+        if len(head) < 14 or len(nonce) < count:
+            return bad("Truncated")
+        if not count:
+            return bad("Invalid")
+    for _ in range(1 + flags):  # the new certificate, if there is one, then the signing one
+        at, error = _certificate_end(head, at)
+        if error:
+            return bad(error)
+    return bad("Length") if at != size else ("TimeStamp" if kind == 1 else "Nonce", time, nonce, bool(flags), data[size:], "OK")
+
+
 def auth3(payload: Column) -> Column:
-    """An enhanced descriptor: kind, time or nonce, whether it carries a new certificate, value, status."""
-    kind, size, flags = uint(payload, 1, 1), uint(payload, 2, 4), uint(payload, 6, 4)
-    data = F.substring(payload, F.lit(1), F.least(size, F.lit(2**31 - 1)).cast("int"))
-    nonce = uint(data, 10, 4)
-    second = F.when(kind == 1, 16).otherwise(nonce + 4) + 10
-    second_error = F.when(kind == 1, _time_error(data, 10)).otherwise(F.when(nonce.isNull(), "Truncated").when(nonce == 0, "Invalid").when(nonce + 14 > F.length(data), "Truncated"))
-    update = flags == 1
-    new_size, new_error = _certificate(data, second)
-    at = second + F.when(update, new_size).otherwise(0)
-    sign_size, sign_error = _certificate(data, at)
-    status = (
-        F.when(F.length(payload) < 10, "Truncated").when(uint(payload, 0, 1) != 1, "Invalid").when(~kind.isin(1, 2), "Invalid").when(flags > 1, "Invalid").when(size < 10, "Length").when(size > F.length(payload), "Truncated")
-        .when(second_error.isNotNull(), second_error).when(update & new_error.isNotNull(), new_error).when(sign_error.isNotNull(), sign_error).when(at + sign_size != size, "Length").otherwise("OK")
-    )
-    ok = status == "OK"
-    return F.struct(
-        F.when(kind == 1, "TimeStamp").when(kind == 2, "Nonce").alias("kind"), F.when(ok & (kind == 1), wire.efi_time(data, 10)).alias("time"), F.when(ok & (kind == 2), F.substring(data, F.lit(15), nonce.cast("int"))).alias("nonce"),
-        update.alias("updates_certificate"), F.when(ok, F.substring(payload, (size + 1).cast("int"), F.length(payload))).alias("value"), status.alias("status"),
-    )
+    """An enhanced descriptor as a struct: kind, time or nonce, whether it carries a new certificate, value, status.
+
+    Where a part begins depends on all before it, so this is an Arrow function instead of an expression.
+    """
+
+    @F.pandas_udf(AUTH3)
+    def parsed(raw: pd.Series) -> pd.DataFrame:
+        rows = [_enhanced(bytes(x)) if x is not None else (*[None] * 5, "Truncated") for x in raw]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in AUTH3.split(", ")])
+
+    return parsed(payload)
 
 
 def signing_input(name: Column, guid: Column, attributes: Column, descriptor: Column, value: Column) -> Column:

@@ -90,3 +90,30 @@ def free_space(areas: DataFrame, rows: DataFrame) -> DataFrame:
     used = rows.where("status = 'OK'").groupBy("image_id").agg(F.max("rec_end").alias("append"))
     out = areas.where("status = 'OK'").join(used, "image_id", "left")
     return out.select("image_id", (F.col("end") - F.col("start")).alias("capacity"), (F.col("end") - F.coalesce("append", "start")).alias("free"))
+
+
+def _record(layout: str, attributes: int, guid: bytes, name: bytes, data: bytes) -> bytes:
+    """A record in state ADDED."""
+    wire_name = name + b"\0\0"
+    middle = b"" if layout == "normal" else bytes(28)
+    raw = struct.pack("<HBBI", 0x55AA, policy.ADDED, 0, attributes) + middle + struct.pack("<II", len(wire_name), len(data)) + guid + wire_name + data
+    return raw.ljust((len(raw) + 3) // 4 * 4, b"\xff")
+
+
+def rewritten(images: DataFrame, areas: DataFrame, keep: DataFrame) -> DataFrame:
+    """Images whose record area holds the rows of keep (image_id, place, attributes, guid, name_wire, data) alone, in order.
+
+    With the resolved versions of a store this is a reclaim: every live variable once, all ADDED. Rows that
+    don't fit are an error (Full), and the image then stays as it was.
+    """
+
+    def write(image: pa.Table, rows: pa.Table) -> pa.Table:
+        i = image.to_pylist()[0]
+        body = b"".join(_record(i["layout"], r["attributes"], r["guid"], r["name_wire"], r["data"]) for r in sorted(rows.to_pylist(), key=lambda r: r["place"]))
+        full = len(body) > i["end"] - i["start"]
+        content = i["content"] if full else i["content"][: i["start"]] + body.ljust(i["end"] - i["start"], b"\xff") + i["content"][i["end"] :]
+        return pa.table({"image_id": [i["image_id"]], "status": ["Full" if full else "OK"], "content": [content]})
+
+    state = images.select(F.col("image_id").cast("string").alias("image_id"), "content").join(areas.where("status = 'OK'").select(F.col("image_id").cast("string").alias("image_id"), "layout", "start", "end"), "image_id")
+    rows = keep.select("image_id", F.col("place").cast("bigint").alias("place"), F.col("attributes").cast("bigint").alias("attributes"), "guid", "name_wire", "data")
+    return state.groupBy("image_id").cogroup(rows.groupBy("image_id")).applyInArrow(write, "image_id string, status string, content binary")
