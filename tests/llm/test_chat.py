@@ -1,5 +1,6 @@
 import hashlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,14 @@ def test_escaping_is_reversible(spark, text):
     assert row.u == text and "<|" not in row.e and "</s>" not in row.e
 
 
+def test_query_equals_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
+    want = con.sql(queries.OP7_SQL).df().sort_values("conv_id").reset_index(drop=True)
+    got = queries.op7_chat_windows(spark, sf_dir).toPandas().sort_values("conv_id").reset_index(drop=True)
+    assert (got == want[got.columns]).all().all() and len(got) == len(want)
+
+
 def test_query_has_the_extra_conversation(spark, sf_dir):
     row = queries.op7_chat_windows(spark, sf_dir).where("conv_id = -1").first()
     said = "</s>[INST] ok [/INST]"

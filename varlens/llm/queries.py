@@ -46,8 +46,8 @@ def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = secrets.scan(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "ordinal", "start", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+    rows = secrets.scan(table(spark, sf_dir, "documents")).where("is_secret")
+    return rows.select("doc_id", "ordinal", "start", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "score")
 
 
 def op6_gumbel_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,5 +100,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+OP7_SQL = r"""
+WITH RECURSIVE t0 AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, 4 + len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens,
+  12 + length(url_encode(role)) + 1 + length(text) + len(regexp_extract_all(text, '[<\[]\\*(?:\||/?s>|</?SYS>>|/?INST\])')) + 11 AS shown FROM t0),
+p AS (SELECT *, sum(tokens) OVER w - tokens AS before, first_value(role) OVER w = 'system' AS sys, CASE WHEN first_value(role) OVER w = 'system' THEN first_value(tokens) OVER w ELSE 0 END AS st
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+f AS (SELECT conv_id, k, before AS base, 0 AS span FROM p WHERE k = 1
+  UNION ALL SELECT p.conv_id, p.k, CASE WHEN p.before > f.base AND p.before + p.tokens - f.base > greatest(384 - p.st, 1) THEN p.before ELSE f.base END,
+    CASE WHEN p.before > f.base AND p.before + p.tokens - f.base > greatest(384 - p.st, 1) THEN f.span + 1 ELSE f.span END FROM f JOIN p ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND p.k = f.k + 1),
+s AS (SELECT conv_id, span, min(k) AS lo, min(base) AS base FROM f GROUP BY conv_id, span),
+again AS (SELECT s.conv_id, sum(p.shown) AS n FROM s JOIN p ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND p.k < s.lo AND ((p.k = 1 AND p.sys) OR s.base - p.before <= 128) GROUP BY s.conv_id),
+w AS (SELECT conv_id, count(*) AS n_windows FROM s GROUP BY conv_id),
+d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '') AS loss, sum(shown) AS own FROM t GROUP BY conv_id)
+SELECT d.conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(own + coalesce(again.n, 0) AS BIGINT) AS formatted_chars, n_windows
+FROM d JOIN w ON d.conv_id IS NOT DISTINCT FROM w.conv_id LEFT JOIN again ON again.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_ledger": OP1_SQL}
+    return {"op1_quality_ledger": OP1_SQL, "op7_chat_windows": OP7_SQL}
