@@ -139,3 +139,28 @@ def budgeted(rows: DataFrame, most_rows: int, most_bytes: int) -> DataFrame:
         F.when(fits(s, x), F.array_append(s["taken"], x["place"].cast("bigint"))).otherwise(s["taken"]).alias("taken"),
     )
     return images.select("image_id", F.aggregate("r", start, step).alias("s"), F.size("r").alias("all")).select("image_id", "s.n", "s.bytes", F.explode("s.taken").alias("place"), (F.col("s.n") < F.col("all")).alias("truncated"))
+
+
+def as_of(log: DataFrame, keys: Column, value: Column) -> DataFrame:
+    """The log with the value of the last record before it (in its image) for which keys holds: what a later write is checked against."""
+    before = Window.partitionBy("image_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return log.withColumn("as_of", F.last(F.when(keys, value), ignorenulls=True).over(before))
+
+
+def inspection(verdicts: DataFrame, live: DataFrame, log_bytes: Column) -> DataFrame:
+    """A diagnostic row for each image: live variables, accepted and rejected mutations, log bytes."""
+    counts = verdicts.groupBy("image_id").agg(F.sum(F.col("accepted").cast("bigint")).alias("accepted"), F.sum((~F.col("accepted")).cast("bigint")).alias("rejected"), F.sum(log_bytes).cast("bigint").alias("log_bytes"))
+    alive = live.groupBy("image_id").agg(F.count("*").alias("variables"))
+    return counts.join(alive, "image_id", "left").withColumn("variables", F.coalesce("variables", F.lit(0)))
+
+
+def anchored(counts: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Images (image_id, authenticated) against their monotonic anchors: a lower count than the anchor is a rollback."""
+    rows = counts.join(anchors, "image_id", "left")
+    behind = F.col("authenticated") < F.coalesce("anchor", F.lit(0))
+    return rows.withColumns({"status": F.when(behind, "Rollback").otherwise("OK"), "next_anchor": F.greatest("authenticated", F.coalesce("anchor", F.lit(0)))})
+
+
+def dumped(live: DataFrame, path: str) -> None:
+    """Tab-separated name, guid, attributes and data, the binary ones as hex, a file for each partition."""
+    live.select(F.hex(F.encode("name", "UTF-16LE")), "guid", "attributes", F.hex(F.encode("data", "UTF-8"))).write.csv(path, sep="\t", mode="overwrite")

@@ -390,6 +390,28 @@ def capture_budget(spark, sf_dir):
     return views.budgeted(rows, 60, 16384).select("image_id", "place")
 
 
+@query(f"WITH {BASE} SELECT image_id, seq, last_value(CASE WHEN name = 'purchase' AND op <> 'DELETE' THEN data END IGNORE NULLS) OVER (PARTITION BY image_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS as_of FROM base")
+def key_as_of(spark, sf_dir):
+    return views.as_of(base(spark, sf_dir), (F.col("name") == "purchase") & (F.col("op") != "DELETE"), F.col("data")).select("image_id", "seq", "as_of")
+
+
+@query(f"""WITH {LIVE}, v AS (SELECT *, max(CASE WHEN op = 'SET' OR (op = 'APPEND' AND length(data) > 0) THEN seq END) OVER w AS made, max(CASE WHEN op = 'DELETE' THEN seq END) OVER w AS was_gone FROM base
+ WINDOW w AS (PARTITION BY image_id, guid, name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), a AS (SELECT *, op <> 'DELETE' OR (made IS NOT NULL AND coalesce(was_gone, -1) < made) AS accepted FROM v),
+ c AS (SELECT image_id, CAST(count(*) FILTER (WHERE accepted) AS BIGINT) AS accepted, CAST(count(*) FILTER (WHERE NOT accepted) AS BIGINT) AS rejected, CAST(sum({RECORD}) AS BIGINT) AS log_bytes FROM a GROUP BY image_id)
+ SELECT c.*, coalesce(n, 0) AS variables FROM c LEFT JOIN (SELECT image_id, count(*) AS n FROM live GROUP BY image_id) USING (image_id)""")
+def inspect_images(spark, sf_dir):
+    log = base(spark, sf_dir)
+    return views.inspection(replay.window_verdicts(log), replay.window_live(log), wire.log_record_size(utf16_size("name"), F.octet_length("data")))
+
+
+@query("""WITH c AS (SELECT user_id AS image_id, count(*) AS authenticated FROM events GROUP BY user_id), a AS (SELECT image_id, CAST(60 + image_id % 20 AS BIGINT) AS anchor FROM c WHERE image_id % 5 <> 0)
+ SELECT c.image_id, authenticated, CASE WHEN authenticated < coalesce(anchor, 0) THEN 'Rollback' ELSE 'OK' END AS status, greatest(authenticated, coalesce(anchor, 0)) AS next_anchor FROM c LEFT JOIN a ON a.image_id = c.image_id""")
+def anchor_check(spark, sf_dir):
+    counts = events(spark, sf_dir).groupBy(F.col("user_id").alias("image_id")).agg(F.count("*").alias("authenticated"))
+    anchors = counts.where("image_id % 5 <> 0").select("image_id", (F.col("image_id") % 20 + 60).cast("bigint").alias("anchor"))
+    return views.anchored(counts, anchors).drop("anchor")
+
+
 def image_rows(spark, sf_dir) -> DataFrame:
     """An encoded image for each user: an empty checkpoint and a log of the base log's mutations."""
     log = base(spark, sf_dir).select(
