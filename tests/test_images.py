@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varlens.functions import wire
-from varlens.operators import efvs, flash, replay, views
+from varlens.operators import flash, logstore, replay, views
 from varlens.sources import images as sources
 
 GUID = bytes(range(16))
@@ -19,7 +19,7 @@ def encoded(spark):
     log = [("i", 0, "SET", 7, GUID, name("key"), b"two"), ("i", 1, "APPEND", 71, GUID, name("key"), b"+"), ("i", 2, "DELETE", 7, GUID, name("gone"), b""), ("i", 3, "SET", 7, GUID, name("new"), b"n")]
     cp = spark.createDataFrame(first, "image_id string, place long, attributes long, guid binary, name_wire binary, data binary")
     lg = spark.createDataFrame(log, "image_id string, place long, op string, attributes long, guid binary, name_wire binary, data binary")
-    return bytes(efvs.encode_images(cp, lg, 8192, 1024, 512).first().content)
+    return bytes(logstore.encode_images(cp, lg, 8192, 1024, 512).first().content)
 
 
 def table(spark, contents):
@@ -28,17 +28,17 @@ def table(spark, contents):
 
 def test_round_trip(spark, encoded):
     df = table(spark, [encoded])
-    chosen = efvs.headers(df).where("selected").collect()
+    chosen = logstore.headers(df).where("selected").collect()
     assert [(r.header_offset, r.generation, r.block_size) for r in chosen] == [(0, 1, 512)]
-    rows = efvs.checkpoint_variables(efvs.parts(df).select("image_id", F.col("checkpoint").alias("data"))).collect()
+    rows = logstore.checkpoint_variables(logstore.parts(df).select("image_id", F.col("checkpoint").alias("data"))).collect()
     assert [(r.status, bytes(r.name_wire).decode("utf-16-le"), bytes(r.data)) for r in rows] == [("OK", "key", b"one"), ("OK", "選択𝄞", b"")]
-    got = efvs.mutations(df).orderBy("seq").collect()
+    got = logstore.mutations(df).orderBy("seq").collect()
     assert [(r.op, bytes.fromhex(r.data)) for r in got] == [("SET", b"two"), ("APPEND", b"+"), ("DELETE", b""), ("SET", b"n")]
-    live = replay.window_live(efvs.mutations(df))
+    live = replay.window_live(logstore.mutations(df))
     assert {bytes.fromhex(r.name).decode("utf-16-le"): bytes.fromhex(r.data) for r in live.collect()} == {"key": b"two+", "new": b"n"}
-    again = efvs.encode_images(efvs.compacted(live), efvs.mutations(df).limit(0).select("image_id", F.col("seq").alias("place"), "op", "attributes", F.unhex("guid").alias("guid"), F.unhex("name").alias("name_wire"), F.unhex("data").alias("data")), 8192, 1024, 512)
+    again = logstore.encode_images(logstore.compacted(live), logstore.mutations(df).limit(0).select("image_id", F.col("seq").alias("place"), "op", "attributes", F.unhex("guid").alias("guid"), F.unhex("name").alias("name_wire"), F.unhex("data").alias("data")), 8192, 1024, 512)
     one = bytes(again.first().content)
-    assert one == bytes(again.first().content) and efvs.mutations(table(spark, [one])).count() == 0
+    assert one == bytes(again.first().content) and logstore.mutations(table(spark, [one])).count() == 0
 
 
 def test_every_cut_and_flip_keeps_a_prefix(spark, encoded):
@@ -47,19 +47,19 @@ def test_every_cut_and_flip_keeps_a_prefix(spark, encoded):
     while encoded[ends[-1] : ends[-1] + 4] == b"EFVR":
         ends.append(ends[-1] + struct.unpack_from("<I", encoded, ends[-1] + 4)[0])
     cuts = [encoded[:at].ljust(len(encoded), b"\0") for at in range(start, ends[-1] + 1)]
-    counts = {int(r.image_id): r["count"] for r in efvs.mutations(table(spark, cuts)).groupBy("image_id").count().collect()}
+    counts = {int(r.image_id): r["count"] for r in logstore.mutations(table(spark, cuts)).groupBy("image_id").count().collect()}
     for k in range(len(cuts)):
         whole = sum(start + k >= e for e in ends[1:])
         # zeros that the cut leaves out of a record's end are there all the same
         assert counts.get(k, 0) in (whole, whole + (cuts[k] == encoded[: ends[min(whole + 1, len(ends) - 1)]].ljust(len(encoded), b"\0")))
     flips = [encoded[:at] + bytes([encoded[at] ^ 1]) + encoded[at + 1 :] for at in range(ends[1], ends[2])]
-    counts = {int(r.image_id): r["count"] for r in efvs.mutations(table(spark, flips)).groupBy("image_id").count().collect()}
+    counts = {int(r.image_id): r["count"] for r in logstore.mutations(table(spark, flips)).groupBy("image_id").count().collect()}
     assert set(counts.values()) == {1} and len(counts) == len(flips)
 
 
 def test_headers_fail_closed(spark, encoded):
     broken = [encoded[:at] + bytes([encoded[at] ^ 0xFF]) + encoded[at + 1 :] for at in range(64)]
-    chosen = {int(r.image_id): r.header_offset for r in efvs.headers(table(spark, broken)).where("selected").collect()}
+    chosen = {int(r.image_id): r.header_offset for r in logstore.headers(table(spark, broken)).where("selected").collect()}
     assert chosen == {k: 512 for k in range(64)}  # header B takes over, whatever byte of A is bad
 
 
@@ -95,7 +95,7 @@ def test_detection_and_files(spark, encoded, tmp_path):
     (tmp_path / "c.img").write_bytes(b"\xa5" * 512 + encoded[512:])
     (tmp_path / "d.img").write_bytes(b"text")
     rows = sources.detected(sources.read_images(spark, str(tmp_path)))
-    assert {r.path[-5]: r.format for r in rows.collect()} == {"a": "efvs", "b": "flash", "c": "efvs", "d": "unknown"}
+    assert {r.path[-5]: r.format for r in rows.collect()} == {"a": "logstore", "b": "flash", "c": "logstore", "d": "unknown"}
 
 
 def test_wire_functions(spark):
@@ -117,10 +117,10 @@ def test_checked_append(spark, encoded):
     df = table(spark, [encoded, torn])
     rows = [(i, k, *r) for i in ("0", "1") for k, r in enumerate([("SET", 7, GUID, name("key"), b"three"), ("DELETE", 7, GUID, name("none"), b""), ("SET", 3, GUID, name("boot"), b"x"), ("APPEND", 71, GUID, name("new"), b"!"), ("SET", 7, GUID, name("big"), b"y" * 5000)])]
     changes = spark.createDataFrame(rows, "image_id string, place long, op string, attributes long, guid binary, name_wire binary, data binary")
-    images, outcomes = efvs.appended(df, changes)
+    images, outcomes = logstore.appended(df, changes)
     got = {(r.image_id, r.place): r.error for r in outcomes.collect()}
     assert got == {**{("0", k): e for k, e in enumerate(("OK", "NotFound", "WriteProtected", "OK", "Full"))}, **{("1", k): "Record" for k in range(5)}}
-    live = replay.window_live(efvs.mutations(images).where("image_id = '0'"))
+    live = replay.window_live(logstore.mutations(images).where("image_id = '0'"))
     assert {bytes.fromhex(r.name).decode("utf-16-le"): bytes.fromhex(r.data) for r in live.collect()} == {"key": b"three", "new": b"n!"}
     after = {r.image_id: bytes(r.content) for r in images.collect()}
     assert after["1"] == torn and after["0"][:start] == encoded[:start]

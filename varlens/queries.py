@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import policy, wire
-from .operators import descriptors, efvs, replay, views
+from .operators import descriptors, logstore, replay, views
 from .plans import mutation_log as ml
 
 PHONE_CHECKPOINT, PHONE_LOG = 131_072, 778_240
@@ -418,18 +418,18 @@ def image_rows(spark, sf_dir) -> DataFrame:
         F.col("guid").cast("string").alias("image_id"), F.col("seq").alias("place"), "op", F.col("attributes").cast("bigint").alias("attributes"), F.unhex(F.md5(F.col("guid").cast("string"))).alias("guid"),
         wire.name_bytes(F.col("name")).alias("name_wire"), F.encode("data", "UTF-8").alias("data"),
     )
-    return efvs.encode_images(log.limit(0).drop("op"), log, 1 << 20, 4096)
+    return logstore.encode_images(log.limit(0).drop("op"), log, 1 << 20, 4096)
 
 
 @query(f"WITH {BASE} SELECT CAST(guid AS VARCHAR) AS image_id, row_number() OVER (PARTITION BY guid ORDER BY seq) - 1 AS seq, name, data, op, attributes FROM base")
 def decode_roundtrip(spark, sf_dir):
     text = lambda c, code: F.decode(F.unhex(c), code)
-    return efvs.mutations(image_rows(spark, sf_dir)).select("image_id", "seq", text("name", "UTF-16LE").alias("name"), text("data", "UTF-8").alias("data"), "op", "attributes")
+    return logstore.mutations(image_rows(spark, sf_dir)).select("image_id", "seq", text("name", "UTF-16LE").alias("name"), text("data", "UTF-8").alias("data"), "op", "attributes")
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS image_id, CAST(h.o AS BIGINT) AS header_offset, CAST(CASE h.o WHEN 0 THEN 1 ELSE 0 END AS INTEGER) AS generation, 'OK' AS status, h.o = 0 AS selected FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest([0, 4096]) AS o) h")
 def header_crc(spark, sf_dir):
-    rows = efvs.headers(image_rows(spark, sf_dir))
+    rows = logstore.headers(image_rows(spark, sf_dir))
     return rows.select("image_id", "header_offset", F.col("generation").cast("int").alias("generation"), "status", "selected")
 
 

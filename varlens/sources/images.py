@@ -13,8 +13,8 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def detected(images: DataFrame) -> DataFrame:
-    """images with format: efvs if a header's magic stands at 0 or at a power of two from 512 to 65536, flash for a firmware volume, else unknown."""
+    """images with format: logstore if a header's magic stands at 0 or at a power of two from 512 to 65536, flash for a firmware volume, else unknown."""
     at = [0, *(1 << k for k in range(9, 17))]
     magic = F.exists(F.array(*map(F.lit, at)), lambda o: F.coalesce(F.substring(F.hex("content"), 2 * o + 1, 8) == "45465653", F.lit(False)))
     flash = F.substring(F.hex("content"), 81, 8) == "5F465648"
-    return images.withColumn("format", F.when(magic, "efvs").when(flash, "flash").otherwise("unknown"))
+    return images.withColumn("format", F.when(magic, "logstore").when(flash, "flash").otherwise("unknown"))
