@@ -1,5 +1,8 @@
+import random
 import zlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from varlens.llm import decontaminate, near_dup, scratch, secrets, segment
 
@@ -38,3 +41,16 @@ def test_rejected_languages_go(spark, odd_docs, sf_dir):
     kept = pipeline.keep_known_languages(spark, odd_docs, sf_dir)
     assert kept.columns == odd_docs.columns
     assert {r.doc_id for r in kept.collect()} <= {1, None, 4, 7, 8, 9}
+
+
+def test_unlearned_languages_and_letter_junk_go(spark, sf01):
+    """However many languages are learned, texts in another one and random letters are rejected, clean ones kept."""
+    docs = spark.read.parquet(f"{sf01}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(7)
+    junk = [(-1 - k, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(1, 10))) for _ in range(100)), None) for k in range(50)]
+    junk.append((-100, "abcdefghijklmnopqrstuvwxyz" * 20 + " the the", None))
+    for left_out in ("de", "en", "es", "fr"):
+        unlearned = F.col("lang") == left_out
+        rows = docs.withColumn("lang", F.when(~unlearned, F.col("lang"))).unionByName(spark.createDataFrame(junk, docs.schema))
+        kept = {r.doc_id for r in pipeline.keep_known_languages(spark, rows, sf01).collect()}
+        assert kept == {r.doc_id for r in docs.where(~unlearned).collect()}

@@ -96,8 +96,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(np.concatenate(positions(g))), pa.array(np.tile(bit, HASHES))], ["p", "bit"])
 
 
-def weigh(f: Filters, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The index of the best language and its share of all corrected popcounts, for each text."""
+def weigh(f: Filters, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the index of the best language, its share of all corrected popcounts, coverage and margin.
+
+    Coverage is the best language's corrected popcount over all n-grams of the text, those that no filter
+    holds among them; margin is how much of that the second language lacks. Neither falls or rises with
+    the number of languages as such.
+    """
     docs = len(off) - 1
     g, doc = grams(buf, off)
     found = np.full(len(g), np.uint64(2**64 - 1))
@@ -110,7 +115,10 @@ def weigh(f: Filters, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.
     right = np.maximum(0, (counts - total[:, None] * f.false_rate) / (1 - np.minimum(f.false_rate, 0.999)))
     best = right.argmax(1)
     top, whole = right[np.arange(docs), best], right.sum(1)
-    return np.where(top > 0, best, f.usual), np.where(whole > 0, top / np.maximum(whole, 1e-9), 0.0)
+    others = right.copy()
+    others[np.arange(docs), best] = 0
+    share, every = np.where(whole > 0, top / np.maximum(whole, 1e-9), 0.0), np.maximum(total, 1)
+    return np.where(top > 0, best, f.usual), share, top / every, (top - others.max(1)) / every
 
 
 def lettered(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -122,30 +130,31 @@ def lettered(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 #: The columns that predict() adds.
-ADDED = ("lang_pred", "score")
+ADDED = ("lang_pred", "score", "coverage", "margin")
 
 
 def predict(docs: DataFrame, f: Filters | None) -> DataFrame:
-    """docs with lang_pred and score (0 to 1), which depend on the text alone.
+    """docs with lang_pred, score, coverage and margin (0 to 1), which depend on the text alone.
 
-    `und` with score 0 for a null text or one without a letter, and for all if nothing was learned. A
+    `und` with 0 in all three for a null text or one without a letter, and for all if nothing was learned. A
     text whose n-grams no filter holds gets the most frequent language with score 0; between equal
-    languages the first by name is taken.
+    languages the first by name is taken. score is relative to the learned languages; whether a text is in
+    any of them is told by coverage.
     """
     if f is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "coverage": F.lit(0.0), "margin": F.lit(0.0)})
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, score = [np.zeros(0, np.int64)], [np.zeros(0)]
+            best, scores = [np.zeros(0, np.int64)], [np.zeros((3, 0))]
             for _, _, buf, off in blocks(batch, "text"):
-                b, s = weigh(f, buf, off)
+                b, *s = weigh(f, buf, off)
                 ok = lettered(buf, off)
                 best.append(np.where(ok, b, -1))
-                score.append(np.where(ok, s, 0.0))
-            best, score = np.concatenate(best), np.concatenate(score)
+                scores.append(np.where(ok, s, 0.0))
+            best, scores = np.concatenate(best), np.concatenate(scores, 1)
             lang = pa.array([f.langs[i] if i >= 0 else "und" for i in best], pa.string())
-            yield pa.record_batch([*batch.columns, lang, pa.array(score, pa.float64())], [*batch.schema.names, *ADDED])
+            yield pa.record_batch([*batch.columns, lang, *(pa.array(s, pa.float64()) for s in scores)], [*batch.schema.names, *ADDED])
 
     keep = docs.drop(*ADDED)
-    return keep.mapInArrow(task, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields) + ", lang_pred string, score double")
+    return keep.mapInArrow(task, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields) + ", lang_pred string, score double, coverage double, margin double")

@@ -38,7 +38,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     filters = language.fit(docs, id_remainder(5) != 0)
     rows = docs.select("doc_id", (id_remainder(5) == 0).alias("held_out"), "text")
-    return language.predict(rows, filters).drop("text")
+    return language.predict(rows, filters).drop("text", "coverage", "margin")
 
 
 def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
