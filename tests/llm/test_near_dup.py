@@ -86,3 +86,12 @@ def test_registers_agree_as_often_as_weighted_texts_are_similar():
         both = np.flatnonzero((wa > 0) & (wb > 0))
         want.append(sum(1 / np.maximum(wa / wa[d], wb / wb[d]).sum() for d in both))
     assert abs(np.mean(agree) - np.mean(want)) < 0.01
+
+
+def test_pairs_that_differ_in_how_often_a_line_repeats_are_found(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(60):
+        words, line = ([f"w{rng.randrange(10**9)}" for _ in range(n)] for n in ((60, 20) if k % 2 else (100, 40)))
+        rows += [(2 * k, " ".join(words + line)), (2 * k + 1, " ".join(words + line * (50 if k % 2 else 100)))]
+    assert {(r.doc_id, r.class_id) for r in check(spark.createDataFrame(rows, "doc_id long, text string"))} == {(k, k - k % 2) for k in range(120)}

@@ -1,8 +1,9 @@
 """Near-duplicate documents by ProbMinHash.
 
-Shingles of five words weigh 1 + ln(their count). Each shingle is a Poisson process of that rate whose
-arrivals fall on random registers; a register keeps the earliest arrival's shingle. Two texts agree in
-a register with the chance of their probability Jaccard similarity. A shingle stops as soon as its next
+Each distinct shingle of five words weighs 1, however often it occurs, and is a Poisson process of that
+rate whose arrivals fall on random registers; a register keeps the earliest arrival's shingle. Two texts
+agree in a register with the chance of their probability Jaccard similarity, which with equal weights is
+the Jaccard similarity of the shingle sets that links are decided by. A shingle stops as soon as its next
 arrival is later than all registers, so a text of n shingles takes about n + REGISTERS ln(REGISTERS)
 arrivals. Bands of ROWS registers give buckets, and pairs from buckets are verified on the shingle sets.
 
@@ -94,9 +95,9 @@ SIGNED = "doc_id long, node long, n_shingles int, shingle_set binary, bands arra
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, buf, off in blocks(batch, "text", BLOCK):
-            key, doc, count = shingles(buf, off)
+            key, doc, _ = shingles(buf, off)
             docs = hi - lo
-            b = bands(signatures(key, doc, 1 + np.log(count), docs))
+            b = bands(signatures(key, doc, np.ones(len(key)), docs))
             n = np.bincount(doc, minlength=docs)
             order = np.lexsort((key >> np.uint64(32), doc)) if len(key) else np.zeros(0, np.int64)
             sets = (key[order] >> np.uint64(32)).astype("<u4").tobytes()
