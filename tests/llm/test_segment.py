@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline as pipeline
 from varlens.llm import queries, segment
 from varlens.llm.words import blocks, mix
 
@@ -91,3 +92,16 @@ def test_library_decodes_the_samples():
 
 def test_empty_table(no_docs):
     assert segment.sample_segmentations(no_docs, MODEL).count() == 0
+
+
+def test_ids_leave_the_operator_and_decode_to_the_text(odd_docs, no_docs):
+    rows = segment.decoded(segment.sample_segmentations(odd_docs, MODEL), MODEL).collect()
+    assert {(r.doc_id, r.decoded) for r in rows} == {(r.doc_id, r.text or "") for r in odd_docs.collect()}
+    assert all(len(r.ids) == r.n_tokens and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+    assert segment.decoded(segment.sample_segmentations(no_docs, MODEL), MODEL).count() == 0
+
+
+def test_pipeline_ends_in_ids(spark, odd_docs, sf_dir):
+    name, stage = pipeline.STAGES[-1]
+    assert dict(stage(spark, odd_docs, sf_dir).dtypes)["ids"] == "array<int>"
+    assert "ids" not in queries.op6_gumbel_segments(spark, sf_dir).columns

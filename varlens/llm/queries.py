@@ -51,7 +51,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_gumbel_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.sample_segmentations(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return segment.sample_segmentations(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model").drop("ids")
 
 
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

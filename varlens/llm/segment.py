@@ -399,21 +399,37 @@ def _task(model: str, k: int):
                     cut = list(zip((4 * (ends - size)).tolist(), (4 * ends).tolist()))
                     crc = [zlib.crc32(raw[x:y]) for x, y in cut]
                     back = [zlib.crc32(text[x + 1 : y]) for x, y in zip(a, b)]  # without the space put before
-                    rows = [pa.array(x) for x in (np.full(len(docs), number, np.int32), size, np.array(crc, np.int64), np.array(back, np.int64), logp, value, inclusion)]
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
+                    rows = [pa.array(np.full(len(docs), number, np.int32)), lists, *map(pa.array, (size, np.array(crc, np.int64), np.array(back, np.int64), logp, value, inclusion))]
                     yield pa.record_batch([batch.column(0)[lo:hi].take(pa.array(docs)), *rows], ["doc_id", *SAMPLE])
 
     return task
 
 
-SAMPLE = {"sample": "int", "n_tokens": "long", "ids_crc32": "long", "decoded_crc32": "long", "log_prob": "double", "gumbel": "double", "log_inclusion": "double"}
+SAMPLE = {"sample": "int", "ids": "array<int>", "n_tokens": "long", "ids_crc32": "long", "decoded_crc32": "long", "log_prob": "double", "gumbel": "double", "log_inclusion": "double"}
 
 
 def sample_segmentations(docs: DataFrame, model: str, k: int = K) -> DataFrame:
     """Up to k rows for each row of docs: distinct sampled segmentations, best perturbed value first.
 
-    n_tokens and ids_crc32 (of the ids as little-endian u32) tell the ids; decoded_crc32 is that of the
-    bytes they decode to, the text's own. log_inclusion is ln of the chance that the segmentation is
+    ids are the segmentation's piece ids, n_tokens their number; decoded() gives their text. ids_crc32 (of
+    the ids as little-endian u32) and decoded_crc32 (of the bytes they decode to, the text's own) are
+    digests of them for checks. log_inclusion is ln of the chance that the segmentation is
     among the k (0 where all there are were given). A null or empty text has one empty segmentation;
     rows of equal doc_id and text get equal samples; a null doc_id draws as 0 does.
     """
     return docs.select("doc_id", "text").mapInArrow(_task(model, k), "doc_id long, " + ", ".join(f"{c} {t}" for c, t in SAMPLE.items()))
+
+
+def decoded(rows: DataFrame, model: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
+    """rows with the text that their ids decode to, without the space that is put before; null where ids is null."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(model)
+        for batch in batches:
+            col = batch.column(batch.schema.get_field_index(ids))
+            texts = [None if not x.is_valid else v.decode(np.asarray(x.values, np.int64)).tobytes()[1:].decode(errors="replace") for x in col]
+            yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
+
+    keep = rows.drop(name)
+    return keep.mapInArrow(task, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields) + f", `{name}` string")
