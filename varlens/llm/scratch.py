@@ -3,20 +3,31 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: A table is broadcast up to this many rows and bytes.
+MOST_ROWS, MOST_BYTES = 500_000, 32 << 20
+#: This process's folder below the shared one: runs side by side don't meet, and each removes its own tables alone.
+RUN = f"varlens-{uuid.uuid4().hex}"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (a local session), one of this process."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a local session gets one of this process; a
+    cluster, whose executors could not reach it, is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir is not set; executors of {master} need a shared folder")
         base = "file://" + tempfile.mkdtemp(prefix="varlens-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/varlens/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{RUN}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -27,17 +38,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_paths(spark: SparkSession) -> None:
-    """Remove every table that this module has written below the shared folder."""
+    """Remove the tables that this process has written below the shared folder; DataFrames over them can't be read any more."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/varlens")
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{RUN}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """df, to be broadcast if a count shows that it has few narrow rows; beyond that joins shuffle it."""
-    from pyspark.sql import functions as F
+def row_bytes(schema: T.StructType) -> Column:
+    """About the bytes of a row: those of strings, binaries and arrays as they are, eight for anything else."""
+    size: Column = F.lit(0).cast("long")
+    for f in schema.fields:
+        col = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(col), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            size = size + 8 * F.coalesce(F.size(col), F.lit(0))
+        else:
+            size = size + 8
+    return size
+
 
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if counting shows that it has MOST_ROWS rows and MOST_BYTES bytes at most; beyond that joins shuffle it."""
+    n, size = df.select(row_bytes(df.schema).alias("b")).limit(MOST_ROWS + 1).agg(F.count("*"), F.sum("b")).first()
+    return F.broadcast(df) if n <= MOST_ROWS and (size or 0) <= MOST_BYTES else df
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -51,6 +75,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Give Arrow batches of texts fewer rows than the default, which a session may have set otherwise: some texts are long."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Give Arrow batches of texts fewer rows than Spark's default, as some texts are long; a session that has set a number keeps it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(rows))
