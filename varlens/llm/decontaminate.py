@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from .scratch import fresh, small, written
 from .words import LOWER, STEP, Hasher, blocks, mix, ranges, word_spans
 
-#: Fixed masks: each selects six tokens. The one without gaps finds passages with one substitution in seven or more, the others denser ones.
-MASKS = ("111111", "111011001", "110100110001", "1100101101")
+#: Fixed masks: each selects six tokens. Every stretch of LEAST_EQUAL equal tokens at LEAST_SHARE has a window in which one of
+#: them meets equal tokens alone, wherever the others lie (a test goes through all placements), so no overlap goes unseen.
+MASKS = ("111111", "1111011", "11101011", "101100100011")
 #: An overlap counts from this many equal tokens (a shorter item: all of its own), with this share of equal ones.
-LEAST_EQUAL, LEAST_SHARE, LEAST_ITEM = 12, 0.8, 9
-#: Along a diagonal an equal token adds 1 and another takes PENALTY; the best stretch is the overlap.
-PENALTY = 2
+LEAST_EQUAL, LEAST_SHARE = 12, 0.8
+#: Items of fewer tokens than any mask selects: from FREE on all their tokens in a row are one seed; shorter ones
+#: match documents that have no other tokens.
+SHORT, FREE = 6, 4
 BLOOM_BITS, BLOOM_HASHES = 1 << 24, 3
 
 OUTSIDE = np.ones(256, bool)
@@ -40,15 +42,28 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def seeds(h: np.ndarray, wo: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
     """First token and hash of every window under a mask."""
-    shape = MASKS[mask]
+    return _seeds(h, wo, MASKS[mask], mask + 1)
+
+
+def _seeds(h: np.ndarray, wo: np.ndarray, shape: str, salt: int) -> tuple[np.ndarray, np.ndarray]:
     at = ranges(wo[:-1], np.maximum(np.diff(wo) - (len(shape) - 1), 0))
-    x = np.full(len(at), mask + 1, np.uint64)
+    x = np.full(len(at), salt, np.uint64)
     for k, c in enumerate(shape):
         if c == "1":
             x = x * np.uint64(STEP) + h[at + k]
     return at, mix(x)
 
 
+def _short_seeds(h: np.ndarray, wo: np.ndarray, n: int, alone: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of n tokens in a row: of all windows, or with alone of the texts that have n tokens."""
+    at, x = _seeds(h, wo, "1" * n, len(MASKS) + n)
+    size = np.diff(wo)
+    if alone and len(at):
+        own = np.repeat(size == n, np.maximum(size - (n - 1), 0))
+        return at[own], x[own]
+    return at, x
+
+
 def _bits(h: np.ndarray) -> list[np.ndarray]:
     return [((h >> np.uint64(20 * k)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64) for k in range(BLOOM_HASHES)]
 
@@ -66,8 +81,7 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, buf, off in blocks(batch, "text"):
             h, wo = tokens(buf, off)
             item = np.repeat(np.arange(lo, hi), np.diff(wo))
-            for m in range(len(MASKS)):
-                at, x = seeds(h, wo, m)
+            for at, x in [*(seeds(h, wo, m) for m in range(len(MASKS))), *(_short_seeds(h, wo, n, True) for n in range(1, SHORT))]:
                 of = item[at]
                 yield pa.record_batch([batch.column(0).take(pa.array(of)), pa.array(x.view(np.int64)), pa.array((at - wo[of - lo]).astype(np.int32))], ["item_id", "seed", "item_pos"])
 
@@ -81,8 +95,11 @@ def _bloom_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SEGMENTS = "doc_id long, text_hash long, first_token int, words array<long>, hits array<struct<seed:long,pos:int>>"
 
 
-def _segments(bloom: np.ndarray, margin: int):
-    """Stretches of documents around possible hits, `margin` tokens to either side; overlapping ones are one."""
+def _segments(bloom: np.ndarray, margin: int, short: list[int]):
+    """Stretches of documents around possible hits, `margin` tokens to either side; overlapping ones are one.
+
+    short: the numbers of tokens, below SHORT, that some item has.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hint = np.packbits((bloom != 0).reshape(1 << 18)).astype(bool).repeat(8)  # by the top bits of a position
@@ -90,8 +107,7 @@ def _segments(bloom: np.ndarray, margin: int):
             for lo, hi, buf, off in blocks(batch, "text"):
                 h, wo = tokens(buf, off)
                 seed, pos = [], []
-                for m in range(len(MASKS)):
-                    at, x = seeds(h, wo, m)
+                for at, x in [*(seeds(h, wo, m) for m in range(len(MASKS))), *(_short_seeds(h, wo, n, n < FREE) for n in short)]:
                     p = _bits(x)
                     may = np.flatnonzero(hint[p[0] >> 6])
                     for k in range(BLOOM_HASHES):
@@ -121,19 +137,23 @@ def _segments(bloom: np.ndarray, margin: int):
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
-    """(equal tokens, tokens, first place) of the best stretch of two sequences of equal length.
-
-    Of stretches with equal scores the longest counts, if its share of equal tokens will do, else the shortest.
+    """(equal tokens, tokens, first place) of the stretch of two sequences of equal length with the most equal tokens
+    among all of which LEAST_SHARE or more are equal; of several the shortest, then the first. (0, 0, 0) if none is equal.
     """
     same = x == y
-    score = np.concatenate([[0], np.cumsum(np.where(same, 1, -PENALTY))])
-    gain = score - np.minimum.accumulate(score)
-    ends = np.flatnonzero(gain == gain.max())
-    found = []
-    for end, pick in ((ends[-1], 0), (ends[0], -1)):
-        start = int(np.flatnonzero(score[: end + 1] == score[: end + 1].min())[pick])
-        found.append((int(same[start:end].sum()), int(end) - start, start))
-    return found[0] if found[0][0] >= LEAST_SHARE * found[0][1] else found[1]
+    n = len(same)
+    if not same.any():
+        return 0, 0, 0
+    equal = np.concatenate([[0], np.cumsum(same)])
+    score = 5 * equal - 4 * np.arange(n + 1)  # a stretch from i to j has the share if score[j] >= score[i]
+    start = np.searchsorted(-np.minimum.accumulate(score), -score, "left")  # the first such i for each j
+    most = equal - equal[start]
+    ends = np.flatnonzero(most == most.max())
+    starts = start[ends]
+    at = np.flatnonzero(same)
+    first, last = at[equal[starts]], at[equal[ends] - 1] + 1  # without unequal tokens at either end
+    k = np.lexsort((first, last - first))[0]
+    return int(most.max()), int(last[k] - first[k]), int(first[k])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +166,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, d = max(0, int(diag[i])), int(diag[i])
             n = min(len(x), d + len(y)) - a
             equal, size, start = overlap(x[a : a + n], y[a - d : a - d + n])
-            if len(y) >= LEAST_ITEM and equal >= min(LEAST_EQUAL, len(y)) and equal >= LEAST_SHARE * size:
+            if equal >= min(LEAST_EQUAL, len(y)) > 0:
                 keep.append(i)
                 for column, v in zip(out, (equal, size, int(first[i]) + a + start, len(y))):
                     column.append(v)
@@ -161,17 +181,22 @@ def text_hash() -> F.Column:
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, n_equal, n_tokens, first_token, item_tokens: the best overlap of each pair that has one.
 
-    Items of fewer than LEAST_ITEM tokens match nothing, as do null and empty texts on either side. Repeated rows of either table give the pair once. An empty table gives no rows.
+    Items of fewer than LEAST_EQUAL tokens match where all of theirs stand in a row; those of fewer than FREE
+    tokens match documents that have the same tokens and no others. Null and empty texts on either side, and
+    texts without tokens, match nothing. Repeated rows of either table give the pair once; very long texts are
+    compared whole. An empty table gives no rows.
     """
     spark = docs.sparkSession
     items = written(items.select("item_id", "text"), "items")
     stored = written(items.mapInArrow(_item_seeds, "item_id long, seed long, item_pos int"), "item-seeds")
     words = items.mapInArrow(_item_tokens, "item_id long, words array<long>")
-    margin = (words.agg(F.max(F.size("words"))).first()[0] or 0) + max(map(len, MASKS))
+    sizes = words.select(F.size("words").alias("n")).groupBy(F.least("n", F.lit(SHORT)).alias("n")).agg(F.max("n").alias("most")).collect()  # SHORT + 1 rows at most
+    margin = max((r.most for r in sizes), default=0) + max(map(len, MASKS))
+    short = sorted(r.n for r in sizes if 0 < r.n < SHORT)
     bloom = np.zeros(BLOOM_BITS >> 6, np.uint64)
     for r in stored.select("seed").mapInArrow(_bloom_words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
         bloom[r.word] = np.uint64(r.bits % 2**64)
-    found = docs.select("doc_id", text_hash().alias("text_hash"), "text").mapInArrow(_segments(bloom, margin), SEGMENTS)
+    found = docs.select("doc_id", text_hash().alias("text_hash"), "text").mapInArrow(_segments(bloom, margin, short), SEGMENTS)
     found = written(found, "segments")
     key = ["doc_id", "text_hash", "first_token"]
     hits = found.select(*key, F.explode("hits").alias("h")).select(*key, "h.seed", "h.pos")
@@ -187,7 +212,11 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that overlap no item, with the columns of docs."""
+    """The rows of docs that overlap no item, with the columns of docs.
+
+    Rows of null or empty texts stay, repeated rows go or stay together; empty tables of items leave all rows.
+    Columns of docs may have any names.
+    """
     id_, text, hash_ = fresh(docs, "id", "text_hash", "hash")
     found = written(overlaps(docs, items).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(text)).distinct(), "contaminated")
     rows = docs.withColumn(hash_, text_hash())
