@@ -1,8 +1,8 @@
 """Language identification by n-grams in bit-sliced Bloom filters.
 
 A filter per language holds the byte 4-grams typical of it. The filters are bit-sliced: row i of one
-table has bit l set if position i of language l's filter is set, so that one look-up (the AND of
-HASHES rows) gives all languages that contain an n-gram. A text's languages are weighed by the
+table, a word for each 64 languages, has bit l set if position i of language l's filter is set, so that
+one look-up (the AND of HASHES rows) gives all languages that contain an n-gram. A text's languages are weighed by the
 popcounts of its n-grams, less what the filters' false positives account for.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .words import LOWER, blocks, mix, ranges
 
-GRAM, HASHES, ROWS, MOST_LANGS = 4, 3, 1 << 18, 64
+GRAM, HASHES, ROWS, WORD = 4, 3, 1 << 18, 64
 #: An n-gram is typical of a language if it is in this share of the language's documents.
 SHARE = 0.02
 #: Labelled documents that the filters are fitted on, for each language: those of lowest hash.
@@ -61,7 +61,7 @@ def _doc_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Filters:
     langs: list[str]
-    table: np.ndarray  # uint64[ROWS]: a bit for each language
+    table: np.ndarray  # uint64[ROWS, words]: a bit for each language, WORD of them a word
     false_rate: np.ndarray  # of each language's filter
     usual: int  # the language of most training documents
 
@@ -70,10 +70,12 @@ def fit(docs: DataFrame, training: Column, sample: int = SAMPLE) -> Filters | No
     """Filters of every language in the rows where training holds and lang isn't null; None if there are none.
 
     The filters are fitted on a bounded sample, `sample` whole documents a language or all it has. What
-    comes to the driver is the table of ROWS words and a row a language (MOST_LANGS at most).
+    comes to the driver is the table, ROWS words for each WORD languages, and a row a language. All
+    languages are learned. Rows of null texts count as documents without n-grams, repeated rows count
+    each, very long texts are taken whole.
     """
     rows = docs.where(training & F.col("lang").isNotNull()).select("lang", F.col("text"), F.xxhash64("doc_id").alias("h"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     langs = sorted(sizes)
@@ -82,18 +84,25 @@ def fit(docs: DataFrame, training: Column, sample: int = SAMPLE) -> Filters | No
     picked = rows.withColumn("at", each[F.col("lang")]).where(F.col("h") <= F.col("at.upto")).select(F.col("at.l").alias("l"), "text")
     counts = picked.mapInArrow(_doc_grams, "l int, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
     floor = F.create_map(*[x for i, l in enumerate(langs) for x in (F.lit(i), F.lit(max(1.0, SHARE * min(sample, sizes[l]))))])
-    typical = counts.where(F.col("n") >= floor[F.col("l")]).select("g", F.expr("shiftleft(1L, l)").alias("bit"))
-    table = np.zeros(ROWS, np.uint64)
-    for r in typical.mapInArrow(_rows, "p long, bit long").groupBy("p").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        table[r.p] = np.uint64(r.bits % 2**64)
-    fill = [((table >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(langs))]
+    typical = counts.where(F.col("n") >= floor[F.col("l")]).select("g", "l")
+    table = np.zeros((ROWS, -(-len(langs) // WORD)), np.uint64)
+    for r in typical.mapInArrow(_rows, "p long, word int, bit long").groupBy("p", "word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        table[r.p, r.word] = np.uint64(r.bits % 2**64)
+    fill = [bit(table[:, i // WORD], i).mean() for i in range(len(langs))]
     return Filters(langs, table, np.array(fill) ** HASHES, max(range(len(langs)), key=lambda i: (sizes[langs[i]], -i)))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        g, bit = np.asarray(b.column(0)).astype(np.uint32), np.asarray(b.column(1))
-        yield pa.record_batch([pa.array(np.concatenate(positions(g))), pa.array(np.tile(bit, HASHES))], ["p", "bit"])
+        g, l = np.asarray(b.column(0)).astype(np.uint32), np.asarray(b.column(1))
+        bits = (np.uint64(1) << (l % WORD).astype(np.uint64)).view(np.int64)
+        cols = [np.concatenate(positions(g)), np.tile((l // WORD).astype(np.int32), HASHES), np.tile(bits, HASHES)]
+        yield pa.record_batch([*map(pa.array, cols)], ["p", "word", "bit"])
+
+
+def bit(words: np.ndarray, language: int) -> np.ndarray:
+    """A language's bits of words of the table."""
+    return (words >> np.uint64(language % WORD)) & np.uint64(1)
 
 
 def weigh(f: Filters, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,13 +114,15 @@ def weigh(f: Filters, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.
     """
     docs = len(off) - 1
     g, doc = grams(buf, off)
-    found = np.full(len(g), np.uint64(2**64 - 1))
-    for p in positions(g):
-        found &= f.table[p]
-    some = np.flatnonzero(found)
-    found, at = found[some], doc[some]
-    total = np.bincount(doc, minlength=docs)
-    counts = np.stack([np.bincount(at[(found >> np.uint64(i)) & np.uint64(1) == 1], minlength=docs) for i in range(len(f.langs))], 1)
+    total, counts, at = np.bincount(doc, minlength=docs), np.zeros((docs, len(f.langs))), positions(g)
+    for w in range(f.table.shape[1]):
+        found = np.full(len(g), np.uint64(2**64 - 1))
+        for p in at:
+            found &= f.table[p, w]
+        some = np.flatnonzero(found)
+        found, own = found[some], doc[some]
+        for i in range(w * WORD, min((w + 1) * WORD, len(f.langs))):
+            counts[:, i] = np.bincount(own[bit(found, i) == 1], minlength=docs)
     right = np.maximum(0, (counts - total[:, None] * f.false_rate) / (1 - np.minimum(f.false_rate, 0.999)))
     best = right.argmax(1)
     top, whole = right[np.arange(docs), best], right.sum(1)
@@ -134,12 +145,13 @@ ADDED = ("lang_pred", "score", "coverage", "margin")
 
 
 def predict(docs: DataFrame, f: Filters | None) -> DataFrame:
-    """docs with lang_pred, score, coverage and margin (0 to 1), which depend on the text alone.
+    """docs with lang_pred, score, coverage and margin (0 to 1), which depend on the text alone and replace columns of these names.
 
     `und` with 0 in all three for a null text or one without a letter, and for all if nothing was learned. A
     text whose n-grams no filter holds gets the most frequent language with score 0; between equal
     languages the first by name is taken. score is relative to the learned languages; whether a text is in
-    any of them is told by coverage.
+    any of them is told by coverage. Repeated rows are predicted each, very long texts whole; an empty
+    table gives no rows.
     """
     if f is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "coverage": F.lit(0.0), "margin": F.lit(0.0)})
