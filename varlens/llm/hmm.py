@@ -22,9 +22,10 @@ from .words import LOWER, Hasher, Lookup, blocks, mix, ranges, word_spans
 STATES, OWN, TAIL, HEAD = 6, 8192, 1024, 1 << 18
 CLASSES = OWN + TAIL + 1  # the last is the end of a text
 END = CLASSES - 1
-#: Rounds over a subset of the training texts (those whose hash leaves 0 by WARM_PART), then over all of them.
-WARM_ROUNDS, WARM_PART, ROUNDS = 8, 16, 2
-#: Texts, the lowest by hash, that the first model is made of.
+#: Rounds go over all training texts until one lifts their log10 likelihood by less than this for each token. That
+#: can't be lifted for ever, so they end; their number follows the texts.
+LEAST_GAIN = 0.0005
+#: Texts, the lowest by hash, from which the states' starting points are picked; all that is counted is from all texts.
 SAMPLE = 300
 PRIOR, SEED = 200.0, 11
 #: The end token's key among word hashes.
@@ -213,14 +214,26 @@ def _expect(m: Model):
     return task
 
 
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, class, n) of each text's frequent words: as many rows as there are such classes at most."""
+    for batch in batches:
+        for row, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+            n = np.bincount(np.frombuffer(raw.as_buffer(), "<u2"), minlength=CLASSES)[:OWN]
+            c = np.flatnonzero(n)
+            yield pa.record_batch([pa.array(np.full(len(c), row)), pa.array(c), pa.array(n[c])], ["row", "c", "n"])
+
+
 def first_model(rows: DataFrame, usual: np.ndarray) -> Model:
-    """States that start half at the usual class shares and half at those of far-apart texts of a bounded sample."""
+    """States that start half at the usual class shares and half at those of far-apart texts of a bounded sample.
+
+    What comes to the driver is counts, SAMPLE * OWN of them at most, and no text.
+    """
     picked = [r.row for r in rows.where("n_tokens >= 20").select("h", "row").orderBy(F.xxhash64("h", F.lit(SEED)), "row").limit(SAMPLE).collect()]
-    sample = rows.where(F.col("row").isin(picked)).orderBy("row").select("classes").collect() if picked else []
-    shares = np.zeros((max(1, len(sample)), CLASSES))
-    for i, r in enumerate(sample):
-        shares[i] = np.bincount(np.frombuffer(r.classes, "<u2"), minlength=CLASSES)
-    shares[:, OWN:] = 0
+    at = {row: i for i, row in enumerate(sorted(picked))}
+    shares = np.zeros((max(1, len(picked)), CLASSES))
+    if picked:
+        for r in rows.where(F.col("row").isin(picked)).select("row", "classes").mapInArrow(_shares, "row long, c long, n long").toLocalIterator():
+            shares[at[r.row], r.c] = r.n
     unit = np.sqrt(shares / np.maximum(1, shares.sum(1, keepdims=True)))
     picked = [0]
     near = unit @ unit[0]
@@ -254,11 +267,12 @@ def fit(encoded: DataFrame, lex: Lexicon) -> Model:
     usual[END] += lex.ends
     usual /= usual.sum()
     training = encoded.where(~F.col("held_out")).select(F.xxhash64("doc_id", "n_tokens").alias("h"), "row", "n_tokens", "classes")
-    m = first_model(training, usual)
-    warm = training.where(F.pmod("h", F.lit(WARM_PART)) == 0)
-    for k in range(WARM_ROUNDS + ROUNDS):
-        m, _ = again(warm if k < WARM_ROUNDS else training, m, usual)
-    return m
+    m, before = first_model(training, usual), -np.inf
+    while True:
+        following, likelihood = again(training, m, usual)  # the likelihood under m
+        if likelihood - before < LEAST_GAIN * max(1, lex.tokens):
+            return following
+        m, before = following, likelihood
 
 
 SCORED = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, share double, forward double"
