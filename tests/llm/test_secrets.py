@@ -1,8 +1,9 @@
 import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from varlens.llm import secrets
+from varlens.llm import scratch, secrets
 
 SECRET = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
 
@@ -35,13 +36,59 @@ def test_scan_and_redaction(spark):
     assert {k: out[k].text for k in (2, 3, 5, 6)} == {k: texts[k] for k in (2, 3, 5, 6)}
 
 
+def plain_candidates(text):
+    """(ordinal, start, candidate) by Python's own search."""
+    return [(k + 1, m.start(2 if m[2] is not None else 3), m[2] if m[2] is not None else m[3]) for k, m in enumerate(re.finditer(secrets.CANDIDATE, text or ""))]
+
+
 def test_candidates_equal_a_plain_search(spark, sf01):
     docs = spark.read.parquet(f"{sf01}/documents.parquet")
-    pattern = re.compile(secrets.CANDIDATE)
-    want = sorted((r.doc_id, k + 1, m.start(), m.group()) for r in docs.collect() for k, m in enumerate(pattern.finditer(r.text or "")))
+    want = sorted((r.doc_id, *c) for r in docs.collect() for c in plain_candidates(r.text))
     assert sorted((r.doc_id, r.ordinal, r.start, r.candidate) for r in secrets.candidates(docs).collect()) == want
 
 
+def test_values_of_any_length_under_a_name_are_candidates(spark):
+    cases = {
+        'password = "hunter2x9"': "hunter2x9", "pwd: s3cr!t@1, then": "s3cr!t@1", "API_KEY=abcdefghijkl": "abcdefghijkl", '{"client_secret": "kqzv"}': "kqzv", "DB_PASSWORD=allsmallletters": "allsmallletters",
+        "NAME=abcdef0123456789ABCD": "abcdef0123456789ABCD", "no names here": None, "password: ": None,
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r.candidate for r in secrets.candidates(docs).collect()}
+    assert [got.get(k) for k in range(len(cases))] == list(cases.values())
+
+
+def test_hand_labelled_lines(spark):
+    """Findings written by hand, apart from the generator: each is a candidate, precision and recall are as the README says."""
+    lines = [line.rstrip("\n").split("\t") for line in (Path(__file__).parent / "secret_lines.tsv").open()]
+    docs = spark.createDataFrame([(k, text, path) for k, (_, path, _, text) in enumerate(lines)], "doc_id long, text string, source string")
+    found = {(r.doc_id, r.candidate): r.is_secret for r in secrets.scan(docs).collect()}
+    hits = [(label == "1", found.get((k, value), False)) for k, (label, _, value, _) in enumerate(lines)]
+    both = sum(a and b for a, b in hits)
+    print([lines[k][3] for k, (a, b) in enumerate(hits) if a != b])
+    assert both / sum(a for a, _ in hits) >= 0.85 and both / sum(b for _, b in hits) >= 0.85
+
+
+def test_control_characters_stay(spark):
+    text = f"a\u0001b\u0002c\u0003d\u0003\u0004e token = \"{SECRET}\" \u0001\u0002\u0003\u0005"
+    docs = spark.createDataFrame([(1, text), (2, text.replace(SECRET, "x"))], "doc_id long, text string")
+    found = secrets.scan(docs).where("is_secret").collect()
+    assert [(r.doc_id, text[r.start : r.start + 40]) for r in found] == [(1, SECRET)]
+    assert {r.doc_id: r.text for r in secrets.redacted(docs).collect()} == {1: text.replace(SECRET, "[SECRET]"), 2: text.replace(SECRET, "x")}
+
+
+def test_words_of_the_corpus_are_in_the_dictionary(spark):
+    docs = spark.createDataFrame([(k, f"the zarnok came {k}") for k in range(secrets.LEAST_DOCS)] + [(90, "a blimfot came"), (91, "password: zarnokBlimfot1")], "doc_id long, text string")
+    assert [(r.candidate, r.in_corpus) for r in secrets.with_words(secrets.candidates(docs), docs).collect()] == [("zarnokBlimfot1", 6)]
+
+
+def test_clashing_names_and_shuffled_joins(spark, odd_docs, monkeypatch):
+    docs = odd_docs.selectExpr("*", *[f"doc_id AS {c}" for c in ("node", "hash", "text_hash", "id", "many", "at", "row", "key", "path", "word", "candidate")])
+    key = lambda df: sorted(map(str, df.collect()))
+    one = key(secrets.redacted(docs))
+    monkeypatch.setattr(scratch, "MOST_ROWS", 0)
+    assert one == key(secrets.redacted(docs))
+
+
 def test_secrets_of_the_documents(spark, sf01):
     docs = spark.read.parquet(f"{sf01}/documents.parquet")
     want = sorted(r.x for r in docs.select(F.explode(F.expr("regexp_extract_all(text, '(?i)token = \"([0-9a-f]{40})\"', 1)")).alias("x")).collect())
