@@ -36,9 +36,48 @@ def test_round_trip(spark, encoded):
     assert [(r.op, bytes.fromhex(r.data)) for r in got] == [("SET", b"two"), ("APPEND", b"+"), ("DELETE", b""), ("SET", b"n")]
     live = replay.window_live(logstore.mutations(df))
     assert {bytes.fromhex(r.name).decode("utf-16-le"): bytes.fromhex(r.data) for r in live.collect()} == {"key": b"two+", "new": b"n"}
-    again = logstore.encode_images(logstore.compacted(live), logstore.mutations(df).limit(0).select("image_id", F.col("seq").alias("place"), "op", "attributes", F.unhex("guid").alias("guid"), F.unhex("name").alias("name_wire"), F.unhex("data").alias("data")), 8192, 1024, 512)
-    one = bytes(again.first().content)
-    assert one == bytes(again.first().content) and logstore.mutations(table(spark, [one])).count() == 0
+    once = logstore.compacted(df).first()
+    after = table(spark, [once.content])
+    assert once.status == "OK" and logstore.mutations(after).count() == 0
+    assert [(r.header_offset, r.generation) for r in logstore.headers(after).where("selected").collect()] == [(512, 2)]
+    assert bytes(logstore.compacted(after).first().content) == bytes(once.content)  # a clean image keeps its bytes
+    held = logstore.checkpoint_variables(logstore.parts(after).select("image_id", F.col("checkpoint").alias("data"))).orderBy("ordinal").collect()
+    assert [(bytes(r.name_wire).decode("utf-16-le"), bytes(r.data)) for r in held] == [("key", b"two+"), ("選択𝄞", b""), ("new", b"n")]
+    assert logstore.checkpoint_head(bytes(logstore.parts(after).first().checkpoint))[0] == 4  # the sequence goes on
+    stale = bytes(once.content)[: 2 * 512 + 2 * 1024] + encoded[2 * 512 + 2 * 1024 :]
+    assert logstore.mutations(table(spark, [stale])).count() == 0  # the old log names another checkpoint
+
+
+def test_an_emptied_image_stays_an_image(spark):
+    blank = logstore.initialized(spark.createDataFrame([("e", 8192, 1024, 512)], "image_id string, image_size long, capacity long, block long")).first()
+    name = "only".encode("utf-16-le")
+    changes = spark.createDataFrame([("0", 0, "SET", 7, GUID, name, b"x"), ("0", 1, "DELETE", 7, GUID, name, b"")], "image_id string, place long, op string, attributes long, guid binary, name_wire binary, data binary")
+    images, outcomes = logstore.appended(table(spark, [blank.content]), changes)
+    assert [r.error for r in outcomes.orderBy("place").collect()] == ["OK", "OK"]
+    after = logstore.compacted(images).collect()
+    assert [r.status for r in after] == ["OK"] and logstore.checkpoint_head(bytes(after[0].content)[2048:3072])[0] == 2
+
+
+def test_boot_only_values_go_through_compaction(spark, encoded):
+    name = lambda s: s.encode("utf-16-le")
+    asked = [("SET", 3, name("boot"), b"b"), ("SET", 7, name("key"), b"after"), ("SET", 7, name("boot"), b"c"), ("SET", 3, name("key"), b"d"), ("DELETE", 0, name("boot"), b""), ("SET", 11, name("hr"), b"e")]
+    changes = spark.createDataFrame([("0", k, op, a, GUID, n, v) for k, (op, a, n, v) in enumerate(asked)], "image_id string, place long, op string, attributes long, guid binary, name_wire binary, data binary")
+    images, outcomes = logstore.appended(table(spark, [encoded]), changes, boot=True)
+    assert [r.error for r in outcomes.orderBy("place").collect()] == ["OK", "OK", "InvalidParameter", "InvalidParameter", "OK", "Unsupported"]
+    state = logstore.replayed(images).first()
+    assert {bytes(v.name_wire).decode("utf-16-le"): bytes(v.data) for v in state.variables} == {"key": b"after", "選択𝄞": b"", "new": b"n"}
+
+
+def test_a_later_smaller_change_may_still_fit(spark):
+    blank = logstore.initialized(spark.createDataFrame([("e", 4096, 1024, 512)], "image_id string, image_size long, capacity long, block long")).first()
+    sizes = [600, 700, 10]  # the log has 1024 bytes: the second doesn't fit, the third does
+    changes = spark.createDataFrame([("0", k, "SET", 7, GUID, f"v{k}".encode("utf-16-le"), b"y" * n) for k, n in enumerate(sizes)], "image_id string, place long, op string, attributes long, guid binary, name_wire binary, data binary")
+    assert [r.error for r in logstore.appended(table(spark, [blank.content]), changes)[1].orderBy("place").collect()] == ["OK", "Full", "OK"]
+
+
+def test_every_byte_of_a_checkpoint_counts(spark, encoded):
+    flips = [encoded[:at] + bytes([encoded[at] ^ 1]) + encoded[at + 1 :] for at in range(1024, 1024 + 216, 7)]
+    assert {r.status for r in logstore.replayed(table(spark, flips)).collect()} <= {"Checkpoint", "Checksum"}
 
 
 def test_every_cut_and_flip_keeps_a_prefix(spark, encoded):
@@ -94,7 +133,11 @@ def test_detection_and_files(spark, encoded, tmp_path):
     (tmp_path / "b.img").write_bytes(flash_image(b""))
     (tmp_path / "c.img").write_bytes(b"\xa5" * 512 + encoded[512:])
     (tmp_path / "d.img").write_bytes(b"text")
-    rows = sources.detected(sources.read_images(spark, str(tmp_path)))
+    with (tmp_path / "e.img").open("wb") as f:
+        f.truncate((16 << 20) + 1)
+    read = sources.read_images(spark, str(tmp_path))
+    assert [(r.path[-5], r.content) for r in read.where("status = 'Bounds'").collect()] == [("e", None)]
+    rows = sources.detected(read.where("status = 'OK'"))
     assert {r.path[-5]: r.format for r in rows.collect()} == {"a": "logstore", "b": "flash", "c": "logstore", "d": "unknown"}
 
 

@@ -9,6 +9,8 @@ NV, BS, RT, HR, AUTH, TIME_AUTH, APPEND, ENHANCED = 0x01, 0x02, 0x04, 0x08, 0x10
 SHIM_NAMES = ("MokList", "MokListX", "MokSBState", "MokDBState", "MokIgnoreDB", "MokListTrusted")
 POLICY_NAMES = ("SecureBoot", "SetupMode", "AuditMode", "DeployedMode")
 GLOBAL_KEYS, IMAGE_KEYS = ("PK", "KEK"), ("db", "dbx", "dbt", "dbr")
+#: Namespaces by their GUIDs' stored bytes (fixed values).
+NAMESPACES = {"61DFE48BCA93D211AA0D00E098032B8C": "global", "CBB219D73A3D9645A3BCDAD00E67656F": "image", "50AB5D6046E00043ABB63DD810DD8B23": "shim"}
 #: Record states of the flash layout (fixed values).
 ADDED, IN_TRANSITION = 0x3F, 0x3E
 LEGAL_STATES = (0xFF, 0x7F, 0x3F, 0x3E, 0x3D, 0x3C)
@@ -39,6 +41,14 @@ def namespace_of(guid: Column, global_: Column, image: Column, shim: Column) ->
     return F.when(guid == global_, "global").when(guid == image, "image").when(guid == shim, "shim").otherwise("other")
 
 
+def namespace(guid: Column) -> Column:
+    """The namespace of a stored GUID."""
+    out = F
+    for stored, name in NAMESPACES.items():
+        out = out.when(F.hex(guid) == stored, name)
+    return out.otherwise("other")
+
+
 def protection(namespace: Column, name: Column) -> Column:
     """Why a key is protected: boot_services_only, policy, secure_boot_key or null."""
     return (
@@ -101,3 +111,67 @@ def mirror_decision(primary_ok: Column, spare_ok: Column, same: Column) -> Colum
 
 def deleting(attributes: Column, value_size: Column) -> Column:
     return (attributes == 0) | ((value_size == 0) & ~has(attributes, APPEND))
+
+
+def operation(attributes: Column, value_size: Column, front: str) -> Column:
+    """SET, APPEND or DELETE, as each front end reads a request: abi (the C interface), service (boot services), tool (the command line).
+
+    The C interface looks for the append bit first, the services delete with attributes 0 whatever the bits,
+    the tool knows no append.
+    """
+    empty, append = value_size == 0, has(attributes, APPEND)
+    if front == "abi":
+        return F.when(append, "APPEND").when((attributes == 0) | empty, "DELETE").otherwise("SET")
+    if front == "service":
+        return F.when(deleting(attributes, value_size), "DELETE").when(append, "APPEND").otherwise("SET")
+    return F.when(empty, "DELETE").otherwise("SET")
+
+
+#: Statuses of the store as the boot services tell them; any other is Corrupt (fixed values).
+SERVICE = {
+    "Full": "OutOfResources", "NotFound": "NotFound", "InvalidParameter": "InvalidParameter", "Name": "InvalidParameter", "Unsupported": "Unsupported",
+    "SecurityViolation": "SecurityViolation", "Rollback": "SecurityViolation", "WriteProtected": "WriteProtected", "Locked": "WriteProtected",
+}
+#: Numbers of those as EFI_STATUS errors, without the top bit (fixed values).
+EFI = {"InvalidParameter": 2, "Unsupported": 3, "BufferTooSmall": 5, "Device": 7, "WriteProtected": 8, "OutOfResources": 9, "NotFound": 14, "SecurityViolation": 26, "Corrupt": 33}
+#: Numbers of the store's statuses in the C interface; any other is the device error (fixed values).
+ABI = {"Full": 9, "WriteProtected": 8, "SecurityViolation": 26, "Unsupported": 3, "Name": 2, "InvalidParameter": 2, "NotFound": 14}
+
+
+def mapped(error: Column, table: dict, other) -> Column:
+    """An error by a table; OK and Success stay null."""
+    known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.when(~error.isin("OK", "Success"), F.coalesce(F.get(F.array(known[error]), F.lit(0)), F.lit(other)))
+
+
+def service_error(error: Column) -> Column:
+    return mapped(error, SERVICE, "Corrupt")
+
+
+def efi_status(service: Column) -> Column:
+    return mapped(service, EFI, EFI["Device"])
+
+
+def abi_status(error: Column) -> Column:
+    return mapped(error, ABI, 7)
+
+
+def manifest_status(size: Column, write_unit: Column, backing_size: Column, backing_unit: Column) -> Column:
+    """Whether a manifest has a write unit that is a power of two and describes the same store as its backing."""
+    fine = (write_unit > 0) & (write_unit.bitwiseAND(write_unit - 1) == 0) & (size == backing_size) & (write_unit == backing_unit)
+    return F.when(fine, "OK").otherwise("InvalidParameter")
+
+
+def posture_tier() -> Column:
+    """The only posture that is built: 0."""
+    return F.lit(0)
+
+
+def later_time(old: Column, new: Column) -> Column:
+    """The time that an authenticated append leaves: the later of two, the new one where none is stored."""
+    return F.greatest(old, new)
+
+
+def size_matches(content: Column, size: Column) -> Column:
+    """A copy counts only with exactly the store's size."""
+    return F.length(content) == size

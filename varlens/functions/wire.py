@@ -23,12 +23,23 @@ def uint(data: Column | str, offset: Column | int, size: int) -> Column:
     return F.conv(big_endian, 16, 10).cast("bigint" if size <= 4 else "decimal(20,0)")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value's expression written once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def le(value: Column, size: int) -> Column:
     """An integer as size little-endian bytes."""
     digits = F.lpad(F.hex(value.cast("bigint")), 2 * size, "0")
     return F.unhex(F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))]))
 
 
+def checked_next(sequence: Column) -> Column:
+    """The sequence number after one of eight bytes; null where that has nine."""
+    following = sequence.cast("decimal(20,0)") + F.lit(1)
+    return F.when(following < F.lit("18446744073709551616").cast("decimal(21,0)"), following.cast("decimal(20,0)"))
+
+
 def align(value: Column, to: int) -> Column:
     """The next multiple of to."""
     return F.floor((value + (to - 1)) / to).cast("bigint") * to
@@ -61,6 +72,14 @@ def name_bytes(text: Column) -> Column:
     return F.encode(text, "UTF-16LE")
 
 
+def lossy_text(wire: Column) -> Column:
+    """A UTF-16LE name as text: lone surrogates become U+FFFD, an odd last byte is dropped."""
+    units = F.regexp_replace(F.hex(wire), "(..)(..)?", "$1$2 ")
+    pairs = r"([0-9A-F]{2}D[89AB]) ([0-9A-F]{2}D[C-F]) "
+    marked = F.regexp_replace(F.regexp_replace(units, pairs, "<$1$2>"), "(?<![0-9A-F<])[0-9A-F]{2}D[89A-F] ", "FDFF ")
+    return F.decode(F.unhex(F.regexp_replace(F.regexp_replace(marked, "(?<![0-9A-F])[0-9A-F]{2} ", ""), "[<> ]", "")), "UTF-16LE")
+
+
 def valid_name(wire: Column) -> Column:
     """A non-empty UTF-16LE name without NUL units or lone surrogates, of 65534 bytes at most."""
     return F.coalesce(F.hex(wire).rlike(UTF16_NAME) & (F.length(wire) <= 65534), F.lit(False))

@@ -23,7 +23,10 @@ MOST_INDEX_BYTES, MOST_NAME_UNITS, MOST_VALUE, MOST_VARIABLES = 2 << 20, 256, 65
 
 def backing(data: Column, at: int = 0) -> Column:
     """A backing descriptor of 320 bytes as a struct with status: Bounds, Header, InvalidParameter or OK."""
-    b = span(data, at, BACKING_SIZE)
+    return wire.let(span(data, at, BACKING_SIZE), _backing)
+
+
+def _backing(b: Column) -> Column:
     size, unit, length = uint(b, 48, 8), uint(b, 56, 4), uint(b, 60, 2)
     kind = uint(b, 8, 1)
     raw = F.substring(b, F.lit(65), F.least(length, F.lit(256)).cast("int"))
@@ -36,15 +39,68 @@ def backing(data: Column, at: int = 0) -> Column:
     return F.struct(F.when(kind == 1, "Partition").when(kind == 2, "File").alias("kind"), span(b, 16, 16).alias("store_uuid"), span(b, 32, 16).alias("partition_uuid"), size.alias("store_size"), unit.alias("write_unit"), path.alias("path"), status.alias("status"))
 
 
+def encoded_backing(kind: Column, store_uuid: Column, partition_uuid: Column, store_size: Column, write_unit: Column, path: Column) -> Column:
+    """A backing descriptor's 320 bytes (kind Partition or File; null path: none), with no check: backing() tells its status."""
+    raw = F.encode(F.coalesce(path, F.lit("")), "ISO-8859-1")
+    zeros = lambda n: F.unhex(F.lit("00" * n))
+    code = F.when(kind == "Partition", 1).otherwise(2)
+    filler = F.unhex(F.repeat(F.lit("00"), F.greatest(F.lit(256) - F.length(raw), F.lit(0)).cast("int")))
+    return F.concat(F.lit("EFVB").cast("binary"), wire.le(F.lit(1), 2), wire.le(F.lit(BACKING_SIZE), 2), wire.le(code, 1), zeros(7), store_uuid, partition_uuid, wire.le(store_size, 8), wire.le(write_unit, 4), wire.le(F.length(raw), 2), zeros(2), raw, filler)
+
+
+def encoded_config_table(capabilities: Column, anchor: Column, backing_bytes: Column) -> Column:
+    """A configuration table's 352 bytes around an encoded backing descriptor."""
+    zeros = lambda n: F.unhex(F.lit("00" * n))
+    return F.concat(F.lit("EFVT").cast("binary"), wire.le(F.lit(2), 2), wire.le(F.lit(TABLE_SIZE), 2), wire.le(policy.posture_tier(), 1), zeros(3), wire.le(capabilities, 4), wire.le(anchor, 8), zeros(8), backing_bytes)
+
+
+def selected_backing(selector: Column) -> Column:
+    """status of a selector file's content (null: there is none): unconfigured, Bounds for any size but a descriptor's, else the descriptor's own."""
+    return F.when(selector.isNull(), "unconfigured").when(F.length(selector) != BACKING_SIZE, "Bounds").otherwise(backing(selector)["status"])
+
+
+def targets(descriptors_: DataFrame, files: DataFrame, partitions: DataFrame) -> DataFrame:
+    """Descriptors (id, volume, kind, partition_uuid, store_size, path) against what is there: status of each.
+
+    files: volume, path, regular, size, image_ok; partitions: uuid, size, image_ok. A target is missing,
+    ambiguous (two partitions of one identity), not regular, of another size, no valid image, or OK.
+    """
+    found = files.select("volume", "path", F.col("regular").alias("_regular"), F.col("size").alias("_file"), F.col("image_ok").alias("_file_ok"))
+    known = partitions.groupBy(F.col("uuid").alias("partition_uuid")).agg(F.count("*").alias("_n"), F.min("size").alias("_part"), F.min("image_ok").alias("_part_ok"))
+    rows = descriptors_.join(found, ["volume", "path"], "left").join(known, "partition_uuid", "left")
+    is_file = F.col("kind") == "File"
+    size, ok = F.when(is_file, F.col("_file")).otherwise(F.col("_part")), F.when(is_file, F.col("_file_ok")).otherwise(F.col("_part_ok"))
+    status = F.when(size.isNull(), "missing").when(~is_file & (F.col("_n") > 1), "ambiguous").when(is_file & ~F.col("_regular"), "not regular").when(size != F.col("store_size"), "size").when(~ok, "image").otherwise("OK")
+    return rows.select("id", status.alias("status"))
+
+
+def selection_plan(status: Column, selected: Column, replace: Column, exists: Column, provision: Column) -> Column:
+    """What provisioning (a new target) or selecting (one that is there) does: its plan or the reason it refuses.
+
+    status: the target's, selected: a selector is there already, exists: something is at a new target's place.
+    """
+    return (
+        F.when(provision & selected, "already selected").when(provision & exists, "already exists").when(provision, "create and select")
+        .when(status != "OK", F.concat(F.lit("refuse: "), status)).when(selected & ~replace, "already selected").when(selected, "replace").otherwise("select")
+    )
+
+
 def config_table(data: Column) -> Column:
     """A configuration table of 352 bytes as a struct with status; version 1 is refused."""
-    t = span(data, 0, TABLE_SIZE)
-    capabilities, inner = uint(t, 12, 4), backing(t, 32)
+    return wire.let(span(data, 0, TABLE_SIZE), _config_table)
+
+
+def _config_table(t: Column) -> Column:
     header = (F.hex(span(t, 0, 4)) == "45465654") & (uint(t, 4, 2) == 2) & (uint(t, 6, 2) == TABLE_SIZE) & wire.filled(span(t, 9, 3), 0) & wire.filled(span(t, 24, 8), 0)
-    bump_alone = capabilities.bitwiseAND(F.lit(3)) == 2
-    allowed = (uint(t, 8, 1) == 0) & (capabilities <= 3) & ~bump_alone
-    status = F.when(t.isNull(), "Bounds").when(~header, "Header").when(inner["status"] != "OK", inner["status"]).when(~allowed, "Unsupported").otherwise("OK")
-    return F.struct(uint(t, 8, 1).alias("tier"), capabilities.alias("capabilities"), uint(t, 16, 8).alias("anchor"), inner.alias("backing"), status.alias("status"))
+    read = F.struct(t.isNull().alias("cut"), header.alias("header"), uint(t, 8, 1).alias("tier"), uint(t, 12, 4).alias("capabilities"), uint(t, 16, 8).alias("anchor"), backing(t, 32).alias("backing"))
+
+    def parsed(x: Column) -> Column:
+        bump_alone = x["capabilities"].bitwiseAND(F.lit(3)) == 2
+        allowed = (x["tier"] == 0) & (x["capabilities"] <= 3) & ~bump_alone
+        status = F.when(x["cut"], "Bounds").when(~x["header"], "Header").when(x["backing"]["status"] != "OK", x["backing"]["status"]).when(~allowed, "Unsupported").otherwise("OK")
+        return F.struct(*[x[c].alias(c) for c in ("tier", "capabilities", "anchor", "backing")], status.alias("status"))
+
+    return wire.let(read, parsed)
 
 
 def _certificate(data: Column, at: Column) -> tuple[Column, Column]:
@@ -58,17 +114,26 @@ def _certificate(data: Column, at: Column) -> tuple[Column, Column]:
 
 
 def _time_error(data: Column, at: Column | int) -> Column:
-    t = wire.efi_time(data, at)
-    plain = (t["pad1"] == 0) & (t["pad2"] == 0) & (t["nanosecond"] == 0) & (t["zone"] == 0) & (t["daylight"] == 0)
-    return F.when(t["pad2"].isNull(), "Truncated").when(~(plain & (wire.time_is_zero(t) | wire.time_is_valid(t))), "TimeStamp")
+    def error(t: Column) -> Column:
+        plain = (t["pad1"] == 0) & (t["pad2"] == 0) & (t["nanosecond"] == 0) & (t["zone"] == 0) & (t["daylight"] == 0)
+        return F.when(t["pad2"].isNull(), "Truncated").when(~(plain & (wire.time_is_zero(t) | wire.time_is_valid(t))), "TimeStamp")
+
+    return wire.let(wire.efi_time(data, at), error)
 
 
 def auth2(payload: Column) -> Column:
     """A time-based descriptor: time, certificate, value and status (the first broken rule or OK)."""
+
+    def parsed(x: Column) -> Column:
+        cut = lambda start, n: F.when(x["status"] == "OK", F.substring(payload, start.cast("int"), n))
+        size = x["size"]
+        return F.struct(
+            F.when(x["status"] == "OK", wire.efi_time(payload, 0)).alias("time"), cut(F.lit(41), (size - 24).cast("int")).alias("certificate"),
+            cut(size + 17, F.length(payload)).alias("value"), x["status"].alias("status"),
+        )
+
     size, broken = _certificate(payload, F.lit(16))
-    status = F.coalesce(_time_error(payload, 0), broken, F.lit("OK"))
-    tail = lambda start: F.when(status == "OK", F.substring(payload, (start + 1).cast("int"), F.length(payload)))
-    return F.struct(F.when(status == "OK", wire.efi_time(payload, 0)).alias("time"), F.when(status == "OK", F.substring(payload, F.lit(41), (size - 24).cast("int"))).alias("certificate"), tail(size + 16).alias("value"), status.alias("status"))
+    return wire.let(F.struct(size.alias("size"), F.coalesce(_time_error(payload, 0), broken, F.lit("OK")).alias("status")), parsed)
 
 
 AUTH3 = "kind string, time binary, nonce binary, updates_certificate boolean, value binary, status string"
@@ -146,15 +211,19 @@ def auth3(payload: Column) -> Column:
     return parsed(payload)
 
 
-def signing_input(name: Column, guid: Column, attributes: Column, descriptor: Column, value: Column) -> Column:
-    """The bytes that a signature covers: name, guid, attributes, the descriptor's covered part, value."""
-    return F.concat(name, guid, wire.le(attributes, 4), descriptor, value)
+def signing_input(name: Column, guid: Column, attributes: Column, descriptor: Column, value: Column, nonce: Column | None = None, certificate: Column | None = None) -> Column:
+    """The bytes that a signature covers: name, guid, attributes, the descriptor's covered part, value, and where the
+    descriptor has them the stored nonce and the new certificate."""
+    more = [F.coalesce(x, F.unhex(F.lit(""))) for x in (nonce, certificate) if x is not None]
+    return F.concat(name, guid, wire.le(attributes, 4), descriptor, value, *more)
 
 
-def index_images(variables: DataFrame, capacities: tuple[int, ...] = (0,) * 6) -> DataFrame:
-    """A runtime index (image_id, content) of each image's runtime variables, sorted by guid and 16-bit units.
+def index_images(variables: DataFrame, capacities: tuple[int, ...] = (0,) * 6, truncated: bool = False, most: int = MOST_VARIABLES) -> DataFrame:
+    """A runtime index (image_id, status, content) of each image's runtime variables, sorted by guid and 16-bit units.
 
-    A snapshot has 512 variables and 2 MiB at most; more of either is an error, as is a value over 64 KiB.
+    A snapshot has 512 variables (most) and 2 MiB at most; more of either gives a row of status
+    OutOfResources without content, as does a value over 64 KiB. truncated tells readers that firmware
+    variables were left out; capacities are the stored triples (size, remaining, largest value) of both classes.
     """
 
     def build(table: pa.Table) -> pa.Table:
@@ -164,14 +233,20 @@ def index_images(variables: DataFrame, capacities: tuple[int, ...] = (0,) * 6) -
             name, data = r["name_wire"] + b"\0\0", r["data"]
             size = (INDEX_RECORD + len(name) + len(data) + 7) // 8 * 8
             body += (r["guid"] + struct.pack("<IIII", r["attributes"], len(name), len(data), size) + name + data).ljust(size, b"\0")
-        if len(rows) > MOST_VARIABLES or INDEX_HEADER + len(body) > MOST_INDEX_BYTES or any(len(r["data"]) > MOST_VALUE for r in rows):
-            raise ValueError("OutOfResources")
-        head = INDEX_MAGIC + struct.pack("<IIII6Q", INDEX_HEADER + len(body), len(rows), 0, 0, *capacities)
-        return pa.table({"image_id": [table["image_id"][0].as_py()], "content": [head + body]})
+        full = len(rows) > most or INDEX_HEADER + len(body) > MOST_INDEX_BYTES or any(len(r["data"]) > MOST_VALUE for r in rows)
+        head = INDEX_MAGIC + struct.pack("<IIII6Q", INDEX_HEADER + len(body), len(rows), truncated, 0, *capacities)
+        return pa.table({"image_id": [table["image_id"][0].as_py()], "status": ["OutOfResources" if full else "OK"], "content": pa.array([None if full else head + body], pa.binary())})
 
     rows = variables.where(policy.runtime_visible(F.col("attributes"))).withColumn("order", wire.name_sort_key(F.col("name_wire")))
     rows = rows.select(F.col("image_id").cast("string").alias("image_id"), "guid", "name_wire", "order", F.col("attributes").cast("bigint").alias("attributes"), "data")
-    return rows.groupBy("image_id").applyInArrow(build, "image_id string, content binary")
+    return rows.groupBy("image_id").applyInArrow(build, "image_id string, status string, content binary")
+
+
+def index_head(images: DataFrame) -> DataFrame:
+    """What runtime indexes (image_id, content) say of themselves: variables, truncated, and the two triples of capacities."""
+    names = [f"{kind}_{part}" for kind in ("nv", "volatile") for part in ("size", "remaining", "largest")]
+    numbers = [uint("content", 24 + 8 * k, 8).alias(name) for k, name in enumerate(names)]
+    return images.select("image_id", uint("content", 12, 4).alias("variables"), (uint("content", 16, 4) != 0).alias("truncated"), *numbers)
 
 
 def index_variables(images: DataFrame) -> DataFrame:

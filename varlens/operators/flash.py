@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from ..functions import policy, wire
 
 #: GUIDs as stored (fixed values): the volume's file system, and the two record layouts' store signatures.
-VOLUME = "8D2BF1FF96768B4CA985274707 5B4F50".replace(" ", "")
+VOLUME = "8D2BF1FF96768B4CA9852747075B4F50"
 NORMAL, AUTHENTICATED = "1636CFDD7532644198B6FE85707FFE7D", "782CF3AA7B949A43A1802E144EC37792"
+#: A blank volume's attributes: read, write and erase polarity, as stored (fixed value).
+VOLUME_ATTRIBUTES = 0x00000E36
 HEADER_SIZE = {"normal": 32, "authenticated": 60}
-STORE_HEADER = 28
+VOLUME_HEADER, STORE_HEADER = 72, 28
 
 
 def stores(images: DataFrame) -> DataFrame:
@@ -28,7 +30,8 @@ def stores(images: DataFrame) -> DataFrame:
     """
     c = F.col("content")
     rows = images.withColumns({"volume_size": wire.uint(c, 32, 8), "header_size": wire.uint(c, 48, 2).cast("int")})
-    words = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.col("header_size") / 2) - 1, F.lit(0))), lambda k: F.conv(F.concat(F.substring(F.hex("content"), (4 * k + 3).cast("int"), F.lit(2)), F.substring(F.hex("content"), (4 * k + 1).cast("int"), F.lit(2))), 16, 10).cast("bigint"))
+    rows = rows.withColumn("head", F.hex(F.substring(c, 1, 1 << 16)))  # as far as the sum and the block map can go
+    words = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.col("header_size") / 2) - 1, F.lit(0))), lambda k: F.conv(F.concat(F.substring("head", (4 * k + 3).cast("int"), F.lit(2)), F.substring("head", (4 * k + 1).cast("int"), F.lit(2))), 16, 10).cast("bigint"))
     total = F.aggregate(words, F.lit(0).cast("bigint"), lambda a, x: (a + x) % 65536)
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.col("header_size") - 56) / 8) - 2, F.lit(0))), lambda k: wire.uint(c, (k * 8 + 56).cast("int"), 4) * wire.uint(c, (k * 8 + 60).cast("int"), 4))
     mapped = F.aggregate(pairs, F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0)))
@@ -100,6 +103,98 @@ def _record(layout: str, attributes: int, guid: bytes, name: bytes, data: bytes)
     return raw.ljust((len(raw) + 3) // 4 * 4, b"\xff")
 
 
+def initialized(images: DataFrame) -> DataFrame:
+    """Blank volumes: image_id, status (StoreSize or OK) and content of rows image_id, size, block, layout (normal, authenticated)."""
+    size, block = F.col("size").cast("bigint"), F.col("block").cast("bigint")
+    fits = (size >= VOLUME_HEADER + STORE_HEADER) & (size % 4 == 0) & (block > 0) & (size % block == 0)
+    signature = F.when(F.col("layout") == "normal", F.unhex(F.lit(NORMAL))).otherwise(F.unhex(F.lit(AUTHENTICATED)))
+    blank = lambda n: F.unhex(F.lit("00" * n))
+    blocks_ = F.floor(size / block).cast("bigint")
+    fixed = sum(struct.unpack("<36H", bytes(16) + bytes.fromhex(VOLUME) + bytes(8) + b"_FVH" + struct.pack("<IHHHBB", VOLUME_ATTRIBUTES, VOLUME_HEADER, 0, 0, 0, 2) + bytes(16)))
+    words = lambda x: x % 65536 + F.floor(x / 65536)  # noqa: E731  of a number below 2**32
+    check = (F.lit(2 << 32) - fixed - words(size) - words(blocks_) - words(block)) % 65536
+    head = F.concat(
+        blank(16), F.unhex(F.lit(VOLUME)), wire.le(size, 8), F.lit("_FVH").cast("binary"), wire.le(F.lit(VOLUME_ATTRIBUTES), 4), wire.le(F.lit(VOLUME_HEADER), 2), wire.le(check, 2), blank(3), F.unhex(F.lit("02")), wire.le(blocks_, 4), wire.le(block, 4), blank(8),
+    )
+    store = F.concat(signature, wire.le(size - VOLUME_HEADER, 4), F.unhex(F.lit("5AFE")), blank(6))
+    content = F.concat(head, store, F.unhex(F.repeat(F.lit("FF"), (size - VOLUME_HEADER - STORE_HEADER).cast("int"))))
+    return images.select(F.col("image_id").cast("string").alias("image_id"), F.when(fits, "OK").otherwise("StoreSize").alias("status"), F.when(fits, content).alias("content"))
+
+
+def changed(images: DataFrame, changes: DataFrame) -> DataFrame:
+    """Sets and deletes written to flash images: outcome rows (image_id, place, outcome) and one row with each image's content.
+
+    changes: image_id, place, attributes, guid, name_wire, data; empty data deletes. A set appends a record
+    and retires the live ones of its key: they pass through transition (a state bit cleared before, one
+    after); a delete clears the deletion bit of all live ones. What is refused, Full among it, leaves the
+    image as it was, and a set of what is stored already writes nothing.
+    """
+    areas = stores(images)
+    found = records(images, areas)
+    own = found.where("status = 'OK'").select("image_id", F.lit(None).cast("long").alias("place"), "rec_offset", "rec_end", "state", "attributes", "guid", "name_wire", "data")
+    null = lambda kind: F.lit(None).cast(kind)
+    asked = changes.select(F.col("image_id").cast("string").alias("image_id"), F.col("place").cast("long").alias("place"), null("long").alias("rec_offset"), null("long").alias("rec_end"), null("short").alias("state"), F.col("attributes").cast("long").alias("attributes"), "guid", "name_wire", "data")
+    broken = found.where("status <> 'OK'").groupBy("image_id").agg(F.first("status").alias("broken"))
+    state = images.select(F.col("image_id").cast("string").alias("image_id"), "content").join(areas.select(F.col("image_id").cast("string").alias("image_id"), "status", "layout", "start", "end"), "image_id")
+    state = state.join(broken, "image_id", "left").withColumn("status", F.coalesce("broken", "status")).drop("broken")
+
+    def write(image: pa.Table, rows: pa.Table) -> pa.Table:
+        if not len(image):
+            return _CHANGED.empty_table()
+        i, rows = image.to_pylist()[0], rows.to_pylist()
+        content, out, live, at = bytearray(i["content"]), [], {}, i["start"]
+        for r in sorted((r for r in rows if r["place"] is None), key=lambda r: r["rec_offset"]):
+            at = r["rec_end"]
+            if r["state"] in (policy.ADDED, policy.IN_TRANSITION):
+                live.setdefault((r["guid"], r["name_wire"]), []).append((r["rec_offset"], r["state"], r["attributes"], r["data"]))
+
+        def retire(held: list, mask: int) -> None:
+            for offset, *_ in held:
+                content[offset + 2] &= mask
+
+        def outcome(r: dict) -> str:
+            nonlocal at
+            key = r["guid"], r["name_wire"]
+            held, word, data = live.get(key, []), r["attributes"], r["data"] or b""
+            if not valid_units(r["name_wire"]):
+                return "Name"
+            if word & 0xB0 or any(h[2] & 0xB0 for h in held):
+                return "AuthenticatedWrite"
+            if word & ~0x0F or word & 3 != 3:
+                return "UnsupportedAttributes"
+            if not data:
+                retire(held, 0xFD)
+                return "Deleted" if live.pop(key, None) else "Absent"
+            added = [h for h in held if h[1] == policy.ADDED] or held[-1:]  # the version that a reader gets
+            if added and added[0][2:] == (word, data):
+                return "Unchanged"
+            record = _record(i["layout"], word, *key, data)
+            if at + len(record) > i["end"]:
+                return "Full"
+            retire(held, 0xFE)
+            content[at : at + len(record)] = record
+            live[key] = [(at, policy.ADDED, word, data)]
+            at += len(record)
+            retire(held, 0xFD)
+            return "Written"
+
+        for r in sorted((r for r in rows if r["place"] is not None), key=lambda r: r["place"]):
+            said = outcome(r) if i["status"] == "OK" else i["status"]
+            out.append({"image_id": i["image_id"], "place": r["place"], "outcome": said, "content": None})
+        return pa.Table.from_pylist([*out, {"image_id": i["image_id"], "place": None, "outcome": None, "content": bytes(content)}], _CHANGED)
+
+    return state.groupBy("image_id").cogroup(own.unionByName(asked).groupBy("image_id")).applyInArrow(write, "image_id string, place long, outcome string, content binary")
+
+
+_CHANGED = pa.schema([("image_id", pa.string()), ("place", pa.int64()), ("outcome", pa.string()), ("content", pa.binary())])
+
+
+def valid_units(name: bytes) -> bool:
+    """wire.valid_name() of one row."""
+    text = name.decode("utf-16-le", "replace")
+    return 0 < len(name) <= 65534 and "\0" not in text and text.encode("utf-16-le") == name
+
+
 def rewritten(images: DataFrame, areas: DataFrame, keep: DataFrame) -> DataFrame:
     """Images whose record area holds the rows of keep (image_id, place, attributes, guid, name_wire, data) alone, in order.
 

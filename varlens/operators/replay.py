@@ -8,6 +8,8 @@ which the format bounds (an image has at most 16 MiB).
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions import rules
+
 KEY = ["image_id", "guid", "name"]
 
 
@@ -45,47 +47,39 @@ def window_live(log: DataFrame) -> DataFrame:
     return parts.select(*KEY, "attributes", F.array_join(F.col("p.data"), "").alias("data"), "last_seq").join(born, KEY)
 
 
-def verdict(op: Column, attributes: Column, size: Column, stored: Column, stored_attributes: Column) -> Column:
-    """The first broken rule of a mutation under the policy without keys, or OK. stored: the key has a value."""
-    bits = lambda a, b: a.bitwiseAND(F.lit(b))
-    return (
-        F.when((stored & (bits(stored_attributes, 4) == 0)) | ((attributes != 0) & (bits(attributes, 4) == 0)), "WriteProtected")
-        .when((bits(attributes, 0xB0) != 0) | (stored & (bits(stored_attributes, 0xB0) != 0)), "SecurityViolation")
-        .when(bits(attributes, ~0x6F) != 0, "Unsupported")
-        .when((op != "DELETE") & (bits(attributes, 7) != 7), "InvalidParameter")
-        .when((op == "APPEND") != (bits(attributes, 0x40) != 0), "InvalidParameter")
-        .when(stored & (bits(attributes, ~0x40) != stored_attributes) & ~((op == "DELETE") & (attributes == 0)), "InvalidParameter")
-        .when(((op == "DELETE") & (size > 0)) | ((op == "SET") & (size == 0)), "InvalidParameter")
-        .when((op == "DELETE") & ~stored, "NotFound")
-        .otherwise("OK")
-    )
+#: Operations of a key that are folded at a time: each append to an array copies it.
+PART = 64
 
 
 def fold(log: DataFrame) -> DataFrame:
     """Each key's final state and outcomes: attributes and data (null: not there), born_seq, outcomes (seq, error)."""
     history = F.sort_array(F.collect_list(F.struct("seq", "op", "attributes", "data")))
     keys = log.groupBy(*KEY).agg(history.alias("h"))
-    start = F.struct(
-        F.lit(None).cast("int").alias("attributes"), F.lit(None).cast("string").alias("data"), F.lit(None).cast("bigint").alias("born"), F.array().cast("array<struct<seq:bigint,error:string>>").alias("out"),
-    )
+    none = lambda kind: F.lit(None).cast(kind)
+    empty = F.array().cast("array<struct<seq:bigint,error:string>>")
+    state = lambda s, out: F.struct(s[0].alias("attributes"), s[1].alias("data"), s[2].alias("born"), out.alias("out"))
+    start = state((none("int"), none("string"), none("bigint")), empty)
 
     def step(s: Column, x: Column) -> Column:
         stored = s["attributes"].isNotNull()
-        judged = F.transform(F.array(verdict(x["op"], x["attributes"], F.length(x["data"]), stored, s["attributes"])), lambda e: apply(s, x, e, stored))
+        judged = F.transform(F.array(rules.verdict(x["op"], x["attributes"], F.length(x["data"]), stored, s["attributes"])), lambda e: apply(s, x, e, stored))
         return judged[0]
 
     def apply(s: Column, x: Column, error: Column, stored: Column) -> Column:
         ok, word = error == "OK", x["attributes"].bitwiseAND(F.lit(~64))
-        empty = (x["op"] == "APPEND") & (F.length(x["data"]) == 0)
-        keep, gone = ~ok | empty, x["op"] == "DELETE"
+        keep, gone = ~ok | ((x["op"] == "APPEND") & (F.length(x["data"]) == 0)), x["op"] == "DELETE"
         data = F.when(keep, s["data"]).when(gone, F.lit(None)).when((x["op"] == "APPEND") & stored, F.concat(s["data"], x["data"])).otherwise(x["data"])
-        return F.struct(
-            F.when(keep, s["attributes"]).when(gone, F.lit(None)).otherwise(word).cast("int").alias("attributes"), data.alias("data"),
-            F.when(keep, s["born"]).when(gone, F.lit(None)).otherwise(F.coalesce(s["born"], x["seq"])).cast("bigint").alias("born"),
-            F.array_append(s["out"], F.struct(x["seq"].cast("bigint").alias("seq"), error.alias("error"))).alias("out"),
-        )
-
-    return keys.select(*KEY, F.aggregate("h", start, step).alias("s")).select(*KEY, "s.attributes", "s.data", F.col("s.born").alias("born_seq"), F.col("s.out").alias("outcomes"))
+        word = F.when(keep, s["attributes"]).when(gone, F.lit(None)).otherwise(word).cast("int")
+        born = F.when(keep, s["born"]).when(gone, F.lit(None)).otherwise(F.coalesce(s["born"], x["seq"])).cast("bigint")
+        return state((word, data, born), F.array_append(s["out"], F.struct(x["seq"].cast("bigint").alias("seq"), error.alias("error"))))
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("h") - 1) / PART).cast("int")), lambda p: F.slice("h", p * PART + 1, PART))
+    both = lambda done, now: F.struct(done.alias("done"), now.alias("now"))
+    more = lambda s, part: both(F.array_append(s["done"], s["now"]["out"]), F.aggregate(part, state([s["now"][c] for c in ("attributes", "data", "born")], empty), step))
+    whole = F.aggregate(parts, both(F.array().cast("array<array<struct<seq:bigint,error:string>>>"), start), more)
+    s = keys.select(*KEY, whole.alias("s"))
+    outcomes = F.flatten(F.array_append("s.done", F.col("s.now.out")))
+    return s.select(*KEY, "s.now.attributes", "s.now.data", F.col("s.now.born").alias("born_seq"), outcomes.alias("outcomes"))
 
 
 def fold_outcomes(folded: DataFrame) -> DataFrame:

@@ -121,9 +121,12 @@ def duplicates(rows: DataFrame, keys: list[str] = KEY) -> DataFrame:
 
 
 def discovered(candidates: DataFrame) -> DataFrame:
-    """How many candidates carry each wanted uuid: unique, missing or duplicate."""
-    found = candidates.groupBy("uuid").agg(F.count("device").alias("matches"))
-    return found.withColumn("status", F.when(F.col("matches") == 0, "missing").when(F.col("matches") == 1, "unique").otherwise("duplicate"))
+    """How many candidates carry each wanted uuid: unique, missing or duplicate; malformed if one of them has a broken
+    table (column malformed, where there is one), as its identity can't be told then."""
+    broken = F.max(F.coalesce("malformed", F.lit(False))) if "malformed" in candidates.columns else F.lit(False)
+    found = candidates.groupBy("uuid").agg(F.count("device").alias("matches"), broken.alias("_broken"))
+    status = F.when(F.col("_broken"), "malformed").when(F.col("matches") == 0, "missing").when(F.col("matches") == 1, "unique").otherwise("duplicate")
+    return found.withColumn("status", status).drop("_broken")
 
 
 def budgeted(rows: DataFrame, most_rows: int, most_bytes: int) -> DataFrame:
@@ -141,10 +144,19 @@ def budgeted(rows: DataFrame, most_rows: int, most_bytes: int) -> DataFrame:
     return images.select("image_id", F.aggregate("r", start, step).alias("s"), F.size("r").alias("all")).select("image_id", "s.n", "s.bytes", F.explode("s.taken").alias("place"), (F.col("s.n") < F.col("all")).alias("truncated"))
 
 
-def as_of(log: DataFrame, keys: Column, value: Column) -> DataFrame:
-    """The log with the value of the last record before it (in its image) for which keys holds: what a later write is checked against."""
+def as_of(log: DataFrame, keys: Column) -> DataFrame:
+    """A log of constant attributes with the value that its last accepted mutation before each record left in the keys
+    for which keys holds (one key an image): what a later write is checked against. After a deletion there is none."""
+    from .replay import window_verdicts
+
+    so_far = Window.partitionBy(*KEY, "epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = window_verdicts(log).withColumn("_k", keys)
+    held = F.max(F.when((F.col("op") == "SET") | ((F.col("op") == "APPEND") & (F.length("data") > 0)), 1).otherwise(0)).over(so_far)
+    value = F.array_join(F.collect_list(F.when(F.col("_k") & (F.col("op") != "DELETE"), F.col("data"))).over(so_far), "")
+    rows = rows.withColumns({"_held": held, "_value": value})
+    left = F.when(F.col("_k") & F.col("accepted"), F.struct(F.when((F.col("op") != "DELETE") & (F.col("_held") == 1), F.col("_value")).alias("v")))
     before = Window.partitionBy("image_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return log.withColumn("as_of", F.last(F.when(keys, value), ignorenulls=True).over(before))
+    return rows.withColumn("as_of", F.last(left, ignorenulls=True).over(before)["v"]).drop("_k", "_held", "_value", "accepted", "epoch")
 
 
 def inspection(verdicts: DataFrame, live: DataFrame, log_bytes: Column) -> DataFrame:
@@ -161,6 +173,11 @@ def anchored(counts: DataFrame, anchors: DataFrame) -> DataFrame:
     return rows.withColumns({"status": F.when(behind, "Rollback").otherwise("OK"), "next_anchor": F.greatest("authenticated", F.coalesce("anchor", F.lit(0)))})
 
 
+def dump_rows(live: DataFrame) -> DataFrame:
+    """name, guid, attributes and data of live variables, the binary ones as hex."""
+    return live.select("image_id", F.hex(F.encode("name", "UTF-16LE")).alias("name"), "guid", "attributes", F.hex(F.encode("data", "UTF-8")).alias("data"))
+
+
 def dumped(live: DataFrame, path: str) -> None:
-    """Tab-separated name, guid, attributes and data, the binary ones as hex, a file for each partition."""
-    live.select(F.hex(F.encode("name", "UTF-16LE")), "guid", "attributes", F.hex(F.encode("data", "UTF-8"))).write.csv(path, sep="\t", mode="overwrite")
+    """dump_rows() without their image as tab-separated files, one for each partition."""
+    dump_rows(live).drop("image_id").write.csv(path, sep="\t", mode="overwrite")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import policy, wire
 from .operators import descriptors, logstore, replay, views
 from .plans import mutation_log as ml
+from .sources.scratch import written
 
 PHONE_CHECKPOINT, PHONE_LOG = 131_072, 778_240
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -96,9 +97,9 @@ def live_rules_list(spark, sf_dir):
     return replay.fold_live(replay.fold(rules(spark, sf_dir))).drop("born_seq")
 
 
-@query(f"WITH {LIVE} SELECT image_id, guid, name, data FROM live WHERE image_id = 3 AND guid = 3 AND name = 'purchase'")
+@query(f"WITH {LIVE} SELECT image_id, guid, name, data FROM live WHERE image_id = 0 AND guid = 3 AND name = 'purchase'")
 def point_get(spark, sf_dir):
-    log = views.point_get(base(spark, sf_dir), 3, 3, "purchase")  # before the replay: only this key's history is read on
+    log = views.point_get(base(spark, sf_dir), 0, 3, "purchase")  # before the replay: only this key's history is read on
     return replay.window_live(log).select("image_id", "guid", "name", "data")
 
 
@@ -217,13 +218,13 @@ def reclaim_offsets(spark, sf_dir):
     return views.reclaimed(views.resolve(records(spark, sf_dir)), F.lit(100)).select("image_id", "guid", "name", "rec_offset", "new_offset", "state")
 
 
-@query(f"""WITH {RECORDS}, s AS (SELECT image_id, 40000 - (max(rec_offset + length) - 100) AS free FROM recs GROUP BY image_id), k AS (SELECT image_id, sum(length) AS scratch FROM res GROUP BY image_id)
- SELECT image_id, CAST(free AS BIGINT) AS free, CAST(scratch AS BIGINT) AS scratch, free < 10000 AS needs_reclaim FROM s JOIN k USING (image_id)""")
+@query(f"""WITH {RECORDS}, s AS (SELECT image_id, 65536 - (max(rec_offset + length) - 100) AS free FROM recs GROUP BY image_id), k AS (SELECT image_id, sum(length) AS scratch FROM res GROUP BY image_id)
+ SELECT image_id, CAST(free AS BIGINT) AS free, CAST(scratch AS BIGINT) AS scratch, free < 16384 AS needs_reclaim FROM s JOIN k USING (image_id)""")
 def needs_reclaim(spark, sf_dir):
     rows = records(spark, sf_dir)
-    free = rows.groupBy("image_id").agg((F.lit(40000) - (F.max(F.col("rec_offset") + F.col("length")) - 100)).cast("bigint").alias("free"))
+    free = rows.groupBy("image_id").agg((F.lit(65536) - (F.max(F.col("rec_offset") + F.col("length")) - 100)).cast("bigint").alias("free"))
     kept = views.resolve(rows).groupBy("image_id").agg(F.sum("length").cast("bigint").alias("scratch"))
-    return free.join(kept, "image_id").withColumn("needs_reclaim", views.needs_reclaim(F.col("free"), F.lit(40000)))
+    return free.join(kept, "image_id").withColumn("needs_reclaim", views.needs_reclaim(F.col("free"), F.lit(65536)))
 
 
 @query(f"""WITH {BASE}, b AS (SELECT image_id, guid, name, seq, op, CASE WHEN op = 'DELETE' THEN '' WHEN seq % 3 = 0 THEN 'same' ELSE data END AS data FROM base),
@@ -235,13 +236,13 @@ def outcomes_edk2(spark, sf_dir):
     return views.change_outcomes(rows).select("image_id", "seq", "guid", "name", "outcome")
 
 
-HEADERS = "h AS (SELECT user_id % 16 AS image_id, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 4096 END AS header_offset, event_id // 4 AS generation, event_id % 11 <> 0 AS valid FROM events)"
+HEADERS = f"h AS (SELECT {ml.IMAGE_SQL} AS image_id, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 4096 END AS header_offset, event_id // 4 AS generation, event_id % 11 <> 0 AS valid FROM events)"
 
 
 @query(f"WITH {HEADERS} SELECT image_id, header_offset, generation FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY generation DESC, header_offset) AS n FROM h WHERE valid) WHERE n = 1")
 def header_select(spark, sf_dir):
     e = F.col("event_id")
-    rows = events(spark, sf_dir).select((F.col("user_id") % 16).alias("image_id"), F.when(e % 2 == 0, 0).otherwise(4096).alias("header_offset"), F.floor(e / 4).alias("generation"), (e % 11 != 0).alias("valid"))
+    rows = events(spark, sf_dir).select(ml.image().alias("image_id"), F.when(e % 2 == 0, 0).otherwise(4096).alias("header_offset"), F.floor(e / 4).alias("generation"), (e % 11 != 0).alias("valid"))
     return views.select_header(rows).select("image_id", "header_offset", "generation")
 
 
@@ -382,17 +383,23 @@ def discover_unique(spark, sf_dir):
     return views.discovered(events(spark, sf_dir).select(F.col("user_id").alias("uuid"), F.when(F.col("event_id") % 40 == 0, F.col("event_id")).alias("device")))
 
 
-@query(f"""WITH RECURSIVE {BASE}, r AS (SELECT image_id, seq + 1 AS k, length(data) * 40 + 20 AS size FROM base WHERE seq < 250), f AS (SELECT DISTINCT image_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS bytes, FALSE AS took FROM r
+@query(f"""WITH RECURSIVE {BASE}, r AS (SELECT image_id, seq + 1 AS k, length(data) * 40 + 20 AS size FROM base), f AS (SELECT DISTINCT image_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS bytes, FALSE AS took FROM r
  UNION ALL SELECT r.image_id, r.k, CASE WHEN f.n < 60 AND f.bytes + r.size <= 16384 THEN f.n + 1 ELSE f.n END, CASE WHEN f.n < 60 AND f.bytes + r.size <= 16384 THEN f.bytes + r.size ELSE f.bytes END, f.n < 60 AND f.bytes + r.size <= 16384 FROM f JOIN r ON r.image_id = f.image_id AND r.k = f.k + 1)
  SELECT image_id, k - 1 AS place FROM f WHERE took""")
 def capture_budget(spark, sf_dir):
-    rows = base(spark, sf_dir).where("seq < 250").select("image_id", F.col("seq").alias("place"), (F.length("data") * 40 + 20).cast("bigint").alias("size"))
+    rows = base(spark, sf_dir).select("image_id", F.col("seq").alias("place"), (F.length("data") * 40 + 20).cast("bigint").alias("size"))
     return views.budgeted(rows, 60, 16384).select("image_id", "place")
 
 
-@query(f"WITH {BASE} SELECT image_id, seq, last_value(CASE WHEN name = 'purchase' AND op <> 'DELETE' THEN data END IGNORE NULLS) OVER (PARTITION BY image_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS as_of FROM base")
+@query(f"""WITH {BASE}, ep AS (SELECT *, sum(CASE WHEN op <> 'APPEND' THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, guid, name ORDER BY seq) AS epoch FROM base),
+ x AS (SELECT *, guid % 8 = 3 AND name = 'purchase' AS k, string_agg(CASE WHEN op <> 'DELETE' THEN data END, '') OVER w AS value, max(CASE WHEN op = 'SET' OR (op = 'APPEND' AND length(data) > 0) THEN 1 ELSE 0 END) OVER w AS held,
+  max(CASE WHEN op = 'SET' OR (op = 'APPEND' AND length(data) > 0) THEN seq END) OVER b AS made, max(CASE WHEN op = 'DELETE' THEN seq END) OVER b AS gone FROM ep
+  WINDOW w AS (PARTITION BY image_id, guid, name, epoch ORDER BY seq), b AS (PARTITION BY image_id, guid, name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ y AS (SELECT *, CASE WHEN k AND (op <> 'DELETE' OR (made IS NOT NULL AND coalesce(gone, -1) < made)) THEN CASE WHEN op <> 'DELETE' AND held = 1 THEN '=' || value ELSE '-' END END AS event FROM x),
+ z AS (SELECT image_id, seq, last_value(event IGNORE NULLS) OVER (PARTITION BY image_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM y)
+ SELECT image_id, seq, CASE WHEN e[1] = '=' THEN e[2:] END AS as_of FROM z""")
 def key_as_of(spark, sf_dir):
-    return views.as_of(base(spark, sf_dir), (F.col("name") == "purchase") & (F.col("op") != "DELETE"), F.col("data")).select("image_id", "seq", "as_of")
+    return views.as_of(base(spark, sf_dir), (F.col("guid") % 8 == 3) & (F.col("name") == "purchase")).select("image_id", "seq", "as_of")
 
 
 @query(f"""WITH {LIVE}, v AS (SELECT *, max(CASE WHEN op = 'SET' OR (op = 'APPEND' AND length(data) > 0) THEN seq END) OVER w AS made, max(CASE WHEN op = 'DELETE' THEN seq END) OVER w AS was_gone FROM base
@@ -412,38 +419,56 @@ def anchor_check(spark, sf_dir):
     return views.anchored(counts, anchors).drop("anchor")
 
 
-def image_rows(spark, sf_dir) -> DataFrame:
-    """An encoded image for each user: an empty checkpoint and a log of the base log's mutations."""
-    log = base(spark, sf_dir).select(
-        F.col("guid").cast("string").alias("image_id"), F.col("seq").alias("place"), "op", F.col("attributes").cast("bigint").alias("attributes"), F.unhex(F.md5(F.col("guid").cast("string"))).alias("guid"),
+def wire_log(spark, sf_dir) -> DataFrame:
+    """The base log with keys and values as they are stored: image_id, place, op, attributes, guid, name_wire, data."""
+    return base(spark, sf_dir).select(
+        F.col("image_id").cast("string").alias("image_id"), F.col("seq").alias("place"), "op", F.col("attributes").cast("bigint").alias("attributes"), F.unhex(F.md5(F.col("guid").cast("string"))).alias("guid"),
         wire.name_bytes(F.col("name")).alias("name_wire"), F.encode("data", "UTF-8").alias("data"),
     )
-    return logstore.encode_images(log.limit(0).drop("op"), log, 1 << 20, 4096)
 
 
-@query(f"WITH {BASE} SELECT CAST(guid AS VARCHAR) AS image_id, row_number() OVER (PARTITION BY guid ORDER BY seq) - 1 AS seq, name, data, op, attributes FROM base")
+def image_rows(spark, sf_dir, size: int = 1 << 18, capacity: int = 1 << 15) -> DataFrame:
+    """An encoded image for each image of the base log: an empty checkpoint and a log of its mutations."""
+    log = wire_log(spark, sf_dir)
+    return written(logstore.encode_images(log.limit(0).drop("op"), log, size, capacity).where("status = 'OK'").drop("status"), "images")
+
+
+@query(f"WITH {BASE} SELECT CAST(image_id AS VARCHAR) AS image_id, seq, name, data, op, attributes FROM base")
 def decode_roundtrip(spark, sf_dir):
-    text = lambda c, code: F.decode(F.unhex(c), code)
-    return logstore.mutations(image_rows(spark, sf_dir)).select("image_id", "seq", text("name", "UTF-16LE").alias("name"), text("data", "UTF-8").alias("data"), "op", "attributes")
+    return logstore.mutations(image_rows(spark, sf_dir)).select("image_id", "seq", wire.lossy_text(F.unhex("name")).alias("name"), F.decode(F.unhex("data"), "UTF-8").alias("data"), "op", "attributes")
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS image_id, CAST(h.o AS BIGINT) AS header_offset, CAST(CASE h.o WHEN 0 THEN 1 ELSE 0 END AS INTEGER) AS generation, 'OK' AS status, h.o = 0 AS selected FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest([0, 4096]) AS o) h")
+@query(f"WITH {BASE} SELECT CAST(image_id AS VARCHAR) AS image_id, CAST(h.o AS BIGINT) AS header_offset, CAST(CASE h.o WHEN 0 THEN 1 ELSE 0 END AS INTEGER) AS generation, 'OK' AS status, h.o = 0 AS selected FROM (SELECT DISTINCT image_id FROM base), (SELECT unnest([0, 4096]) AS o) h")
 def header_crc(spark, sf_dir):
     rows = logstore.headers(image_rows(spark, sf_dir))
     return rows.select("image_id", "header_offset", F.col("generation").cast("int").alias("generation"), "status", "selected")
 
 
-@query(f"WITH {LIVE} SELECT CAST(image_id AS VARCHAR) AS image_id, row_number() OVER (PARTITION BY image_id ORDER BY md5(guid::VARCHAR), name) - 1 AS place, name, data FROM live WHERE guid < 100")
+#: A smaller limit than the format's, so that some images have more variables than an index takes.
+INDEXED = 30
+
+
+@query(f"""WITH {LIVE}, n AS (SELECT image_id, count(*) AS n FROM live GROUP BY image_id) SELECT CAST(image_id AS VARCHAR) AS image_id, 'OK' AS status, row_number() OVER (PARTITION BY image_id ORDER BY md5(guid::VARCHAR), name) - 1 AS place, name, data FROM live JOIN n USING (image_id) WHERE n <= {INDEXED}
+ UNION ALL SELECT CAST(image_id AS VARCHAR), 'OutOfResources', NULL, NULL, NULL FROM n WHERE n > {INDEXED}""")
 def index_roundtrip(spark, sf_dir):
-    live = replay.window_live(base(spark, sf_dir)).where("guid < 100")
+    live = replay.window_live(base(spark, sf_dir))
     rows = live.select("image_id", F.unhex(F.md5(F.col("guid").cast("string"))).alias("guid"), wire.name_bytes(F.col("name")).alias("name_wire"), "attributes", F.encode("data", "UTF-8").alias("data"))
-    found = descriptors.index_variables(descriptors.index_images(rows))
-    return found.select("image_id", "place", F.decode("name_wire", "UTF-16LE").alias("name"), F.decode("data", "UTF-8").alias("data"))
+    built = descriptors.index_images(rows, most=INDEXED)
+    found = descriptors.index_variables(built.where("status = 'OK'").select("image_id", "content"))
+    found = found.select("image_id", "status", "place", wire.lossy_text(F.col("name_wire")).alias("name"), F.decode("data", "UTF-8").alias("data"))
+    null = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    return found.unionByName(built.where("status <> 'OK'").select("image_id", "status", null("place", "long"), null("name", "string"), null("data", "string")))
+
+
+def _every() -> dict:
+    from . import format_queries, service_queries  # noqa: F401  they add theirs to _FOUND
+
+    return _FOUND
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in _FOUND.items()}
+    return {name: f for name, (f, _) in _every().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _FOUND.items() if sql}
+    return {name: sql for name, (_, sql) in _every().items() if sql}
