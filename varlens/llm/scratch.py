@@ -1,47 +1,13 @@
-"""Places that every executor can reach, for tables written to cut lineage."""
-
-import tempfile
-import uuid
+"""Written tables, broadcasts of a checked size, names and batches that fit."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import drop_paths, new_path, shared_dir, there, written  # noqa: F401  as the operators use them
+
 #: A table is broadcast up to this many rows and bytes.
 MOST_ROWS, MOST_BYTES = 500_000, 32 << 20
-#: This process's folder below the shared one: runs side by side don't meet, and each removes its own tables alone.
-RUN = f"varlens-{uuid.uuid4().hex}"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, a local session gets one of this process; a
-    cluster, whose executors could not reach it, is refused."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if master.split("[")[0] != "local":
-            raise ValueError(f"spark.checkpoint.dir is not set; executors of {master} need a shared folder")
-        base = "file://" + tempfile.mkdtemp(prefix="varlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{RUN}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lost executors don't bring back what lies before."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_paths(spark: SparkSession) -> None:
-    """Remove the tables that this process has written below the shared folder; DataFrames over them can't be read any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{RUN}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_bytes(schema: T.StructType) -> Column:
