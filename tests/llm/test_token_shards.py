@@ -1,4 +1,5 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -7,9 +8,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from varlens.llm import mph, queries, token_shards
+from varlens.llm import mph, queries, scratch, token_shards
+from varlens.sources import scratch as tables
 
-PATH = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+PATH = queries.WORD_MODEL
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 1000, 20_000])
@@ -21,7 +23,7 @@ def test_perfect_hash_is_minimal(n):
 
 def expected(rows):
     t = Tokenizer.from_file(PATH)
-    rows = sorted(rows, key=lambda r: -(2**63) if r.doc_id is None else r.doc_id)
+    rows = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0))
     out, at = [], 0
     for r in rows:
         ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 2]
@@ -35,7 +37,7 @@ def test_odd_texts_round_trip(odd_docs):
     assert sorted(map(str, ((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows))) == sorted(map(str, expected(odd_docs.collect())))
     ends = np.cumsum([r.n_tokens for r in rows])
     assert [r.start for r in rows] == [0, *ends[:-1]]
-    keys = [-(2**63) if r.doc_id is None else r.doc_id for r in rows]
+    keys = [(r.doc_id is not None, r.doc_id or 0) for r in rows]
     assert keys == sorted(keys)
 
 
@@ -64,3 +66,52 @@ def test_words_give_the_texts_ids(texts):
     t = Tokenizer.from_file(PATH)
     want = [t.encode(x, add_special_tokens=False).ids for x in texts]
     assert size.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_the_least_key_is_no_null(spark):
+    docs = spark.createDataFrame([(-(2**63), "least"), (None, "none"), (None, "none at all"), (5, "five")], "doc_id long, text string")
+    for shards in (1, 4):
+        base, manifest = token_shards.write_shards(docs, PATH, shards=shards)
+        rows = token_shards.read_keys(docs, base, manifest).orderBy("start").collect()
+        assert [r.doc_id for r in rows] == [None, None, -(2**63), 5]
+        one = token_shards.read_keys(docs.where("doc_id IS NOT NULL"), base, manifest).orderBy("start").collect()
+        assert [(r.doc_id, r.start) for r in one] == [(r.doc_id, r.start) for r in rows[2:]]
+
+
+def test_a_repeated_task_leaves_the_file_of_the_first_alone(spark, odd_docs, monkeypatch):
+    """Two attempts of a task write two files; what the manifest names is read, whatever lies beside it."""
+    base, manifest = token_shards.write_shards(odd_docs, PATH, shards=1)
+    path = manifest.first().path
+    assert path.rsplit("-", 1)[1].split(".")[0].isdigit()  # the attempt's number
+    before = Path(path).read_bytes()
+    Path(path.rsplit("-", 1)[0] + "-999999999.vlts").write_bytes(before[: len(before) // 2])  # of an attempt that was lost
+    rows = token_shards.read_keys(odd_docs, base, manifest).collect()
+    assert len(rows) == odd_docs.count() and Path(path).read_bytes() == before
+
+
+def test_runs_side_by_side_and_no_local_folder_on_a_cluster(spark, monkeypatch):
+    table = scratch.written(spark.range(5), "mine")
+    monkeypatch.setattr(tables, "RUN", "varlens-other")
+    other = scratch.written(spark.range(7), "theirs")
+    scratch.drop_paths(spark)
+    assert table.count() == 5
+    with pytest.raises(Exception):
+        other.count()
+
+    class Cluster:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = type("Conf", (), {"get": staticmethod(lambda name, default: None)}), Cluster
+
+    with pytest.raises(ValueError):
+        scratch.shared_dir(Session)
+
+
+def test_a_session_keeps_its_own_batch_size(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    scratch.small_batches(spark)
+    assert spark.conf.get(name) == "10000"
+    spark.conf.set(name, before)

@@ -8,10 +8,12 @@ A shard file holds the documents of one range of keys in ascending key order:
     prints   u32[n_keys]      a fingerprint for each cell
     first    u64[n_keys]      first row of the cell's key
     count    u32[n_keys]      rows of that key
-    footer   magic, version, id width, salt, n_rows, n_keys, n_buckets, n_ids
+    footer   magic, version, id width, salt, n_rows, n_nulls, n_keys, n_buckets, n_ids
 
-The manifest has a row for each shard: its key range and totals. A key's shard comes from the
-manifest, its cell from the hash, its ids from the cell: constant time at any size.
+The first n_nulls rows are those without a key. The manifest has a row for each shard: its file, key range
+and totals. A key's shard comes from the manifest, its cell from the hash, its ids from the cell: constant
+time at any size. Each attempt of a task writes a file of its own, and the manifest, which Spark commits,
+names the one that counts; so a task may run twice, or two at once, on any file system.
 """
 
 import itertools
@@ -31,11 +33,10 @@ from . import mph
 from .scratch import new_path, written
 from .words import Hasher, blocks, ranges, word_spans
 
-MAGIC, VERSION = b"VLTS", 1
-FOOTER = "<4sIIIQQQQ"
-NULL_KEY = -(2**63)
+MAGIC, VERSION = b"VLTS", 2
+FOOTER = "<4sIIIQQQQQ"
 SLOTS = 1 << 21
-MANIFEST = "shard int, path string, min_key long, max_key long, n_rows long, n_ids long"
+MANIFEST = "shard int, path string, min_key long, max_key long, n_nulls long, n_rows long, n_ids long"
 _coders: dict[str, "WordCoder"] = {}
 
 
@@ -114,17 +115,17 @@ def _write(base: str, tokenizer: str, end_id: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         fs, root = pafs.FileSystem.from_uri(base)
-        code, keys, sizes, out, part = coder(tokenizer), [], [], None, f"{root}/.shard-{shard:06d}-{attempt}"
+        code, keys, sizes, nulls, out, path = coder(tokenizer), [], [], 0, None, f"{root}/shard-{shard:06d}-{attempt}.vlts"
         for batch in batches:
-            key = np.asarray(batch.column(0), np.int64)
-            for lo, hi, buf, off in blocks(batch, "text"):
+            nulls += batch.column(0).null_count  # they come before all others
+            keys.append(np.asarray(batch.column(0).drop_null(), np.int64))
+            for _, _, buf, off in blocks(batch, "text"):
                 ids, size = code.encode(buf, off)
                 ids = np.insert(ids, np.cumsum(size), end_id)
                 if out is None:
                     fs.create_dir(root, recursive=True)
-                    out = fs.open_output_stream(part)
+                    out = fs.open_output_stream(path)
                 out.write(ids.astype(f"<u{code.width}").tobytes())
-                keys.append(key[lo:hi])
                 sizes.append(size + 1)
         if out is None:
             return
@@ -132,12 +133,13 @@ def _write(base: str, tokenizer: str, end_id: int):
         distinct, first, count = np.unique(key, return_index=True, return_counts=True)
         salt, seeds = mph.build(distinct)
         cell = np.argsort(mph.find(distinct, salt, seeds, len(distinct)))
-        for x, kind in ((rows, "<u8"), (seeds, "<u4"), (mph.fingerprints(distinct)[cell], "<u4"), (first[cell], "<u8"), (count[cell], "<u4")):
+        for x, kind in ((rows, "<u8"), (seeds, "<u4"), (mph.fingerprints(distinct)[cell], "<u4"), (nulls + first[cell], "<u8"), (count[cell], "<u4")):
             out.write(x.astype(kind).tobytes())
-        out.write(struct.pack(FOOTER, MAGIC, VERSION, code.width, salt, len(key), len(distinct), len(seeds), int(rows[-1])))
+        out.write(struct.pack(FOOTER, MAGIC, VERSION, code.width, salt, len(rows) - 1, nulls, len(distinct), len(seeds), int(rows[-1])))
         out.close()
-        fs.move(part, path := f"{root}/shard-{shard:06d}.vlts")  # a repeated task writes the same bytes
-        yield pa.record_batch([pa.array([v], t) for v, t in zip((shard, path, int(key[0]), int(key[-1]), len(key), int(rows[-1])), (pa.int32(), pa.string(), *[pa.int64()] * 4))], ["shard", "path", "min_key", "max_key", "n_rows", "n_ids"])
+        ends = (int(key[0]), int(key[-1])) if len(key) else (None, None)
+        types = [pa.int32(), pa.string(), *[pa.int64()] * 5]
+        yield pa.record_batch([pa.array([v], t) for v, t in zip((shard, path, *ends, nulls, len(rows) - 1, int(rows[-1])), types)], [c.split()[0] for c in MANIFEST.split(", ")])
 
     return task
 
@@ -145,13 +147,14 @@ def _write(base: str, tokenizer: str, end_id: int):
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shards: int | None = None) -> tuple[str, DataFrame]:
     """Encode all texts, append end_id to each, write the shard files; gives their folder and the manifest.
 
-    A null text is empty. A null doc_id has the key NULL_KEY, before all others. Rows of one doc_id stay
-    together in order of their texts' hashes, in more than one shard where they are many.
+    A null text is empty. Rows of a null doc_id come before all others. Rows of one doc_id, or of none, stay
+    together in order of their texts' hashes, in more than one shard where they are many. Very long texts are
+    encoded whole; an empty table has an empty manifest.
     """
     spark = docs.sparkSession
     base = new_path(spark, "token-shards")
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("key"), "text", F.xxhash64("text").alias("h"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), "text", F.xxhash64("text").alias("h"))
     rows = rows.repartitionByRange(n, "key", "h").sortWithinPartitions("key", "h").select("key", "text")
     return base, written(rows.mapInArrow(_write(base, tokenizer, end_id), MANIFEST), "token-manifest")
 
@@ -162,7 +165,7 @@ class Shard:
     def __init__(self, fs: pafs.FileSystem, path: str):
         self.file = fs.open_input_file(path)
         end = self.file.size() - struct.calcsize(FOOTER)
-        magic, version, self.width, self.salt, self.n_rows, self.n_keys, buckets, self.n_ids = struct.unpack(FOOTER, self.file.read_at(struct.calcsize(FOOTER), end))
+        magic, version, self.width, self.salt, self.n_rows, self.n_nulls, self.n_keys, buckets, self.n_ids = struct.unpack(FOOTER, self.file.read_at(struct.calcsize(FOOTER), end))
         if magic != MAGIC or version != VERSION:
             raise ValueError(f"{path} is no token shard")
         at = self.n_ids * self.width
@@ -188,18 +191,21 @@ class Shard:
         return np.frombuffer(self.file.read_at((b - a) * self.width, a * self.width), f"<u{self.width}")
 
 
-def _read(base: str, bases: dict[int, int], most: int = 4 << 20):
+def _read(base: str, files: dict[int, tuple[str, int]], most: int = 4 << 20):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(base)
-        got = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches]  # keys alone, of a few shards
-        shards, keys = (np.concatenate([g[k] for g in got] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        fs, _ = pafs.FileSystem.from_uri(base)
+        got = pa.Table.from_batches(batches, pa.schema([("shard", pa.int32()), ("key", pa.int64())]))  # keys alone, of a few shards
+        shards, null, keys = np.asarray(got["shard"]), np.asarray(got["key"].is_null()), np.asarray(got["key"].fill_null(0))
         for s in np.unique(shards):
-            shard = Shard(fs, f"{root}/shard-{s:06d}.vlts")
-            own = keys[shards == s]
+            path, start = files[int(s)]
+            shard = Shard(fs, path)
+            own, none = keys[(shards == s) & ~null], ((shards == s) & null).any()
             first, count = shard.find(own)
             row, key = ranges(first, count), np.repeat(own, count)
             order = np.argsort(row)
             row, key = row[order], key[order]
+            nulls = shard.n_nulls if none else 0
+            row, key, unkeyed = np.concatenate([np.arange(nulls), row]), np.concatenate([np.zeros(nulls, np.int64), key]), np.arange(nulls + len(row)) < nulls
             a, b = shard.rows[row], shard.rows[row + 1]
             crc, lo = np.zeros(len(row), np.int64), 0
             while lo < len(row):  # neighbouring documents in one read
@@ -209,8 +215,7 @@ def _read(base: str, bases: dict[int, int], most: int = 4 << 20):
                     crc[i] = zlib.crc32(ids[a[i] - a[lo] : b[i] - a[lo]])
                 lo = hi
             shard.file.close()
-            null = pa.array(key == NULL_KEY)
-            yield pa.record_batch([pa.array(key, mask=np.asarray(null)), pa.array(a + bases[int(s)]), pa.array(b - a), pa.array(crc), pa.array(np.full(len(row), s, np.int32))], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
+            yield pa.record_batch([pa.array(key, mask=unkeyed), pa.array(a + start), pa.array(b - a), pa.array(crc), pa.array(np.full(len(row), s, np.int32))], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
     return task
 
@@ -223,17 +228,20 @@ def read_keys(keys: DataFrame, base: str, manifest: DataFrame) -> DataFrame:
     """
     spark = keys.sparkSession
     ordered = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    table = sorted(manifest.select("shard", "min_key", "max_key", F.coalesce(F.sum("n_ids").over(ordered), F.lit(0)).alias("base")).collect())
-    low, high = (np.array([r[k] for r in table], np.int64) for k in (1, 2))
-    number, bases = np.array([r[0] for r in table], np.int32), {r[0]: r[3] for r in table}
+    table = manifest.select("shard", "path", "min_key", "max_key", "n_nulls", F.coalesce(F.sum("n_ids").over(ordered), F.lit(0)).alias("base")).orderBy("shard").collect()
+    files, keyed = {r.shard: (r.path, r.base) for r in table}, [r for r in table if r.min_key is not None]
+    low, high = np.array([r.min_key for r in keyed], np.int64), np.array([r.max_key for r in keyed], np.int64)
+    number, unkeyed = np.array([r.shard for r in keyed], np.int32), np.array([r.shard for r in table if r.n_nulls], np.int32)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key = np.asarray(b.column(0), np.int64)
+            if b.column(0).null_count:
+                yield pa.record_batch([pa.array(unkeyed), pa.nulls(len(unkeyed), pa.int64())], ["shard", "key"])
+            key = np.asarray(b.column(0).drop_null(), np.int64)
             lo, hi = np.searchsorted(high, key, "left"), np.searchsorted(low, key, "right")
             n = np.maximum(hi - lo, 0)
             yield pa.record_batch([pa.array(number[ranges(lo, n)], pa.int32()), pa.array(np.repeat(key, n))], ["shard", "key"])
 
-    wanted = keys.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("key")).distinct().mapInArrow(place, "shard int, key long")
+    wanted = keys.select(F.col("doc_id").cast("long").alias("key")).distinct().mapInArrow(place, "shard int, key long")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return wanted.repartition(n, "shard").mapInArrow(_read(base, bases), "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
+    return wanted.repartition(n, "shard").mapInArrow(_read(base, files), "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
