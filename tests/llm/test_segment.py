@@ -9,7 +9,7 @@ import corpus_pipeline as pipeline
 from varlens.llm import queries, segment
 from varlens.llm.words import blocks, mix
 
-MODEL = f"{queries.TOKENIZERS}/piece_bpe_32k.model"
+MODEL = queries.PIECE_MODEL
 
 
 def every(text):
@@ -82,6 +82,39 @@ def test_decoding_gives_the_text_back(odd_docs):
     assert len({(r.doc_id, r.decoded_crc32, r.ids_crc32) for r in rows if r.doc_id == 4}) == segment.K
 
 
+def test_unlikely_edges_are_drawn_where_there_are_no_others():
+    """A word whose other segmentations have chances far below 1e-15 still gives as many samples as it has segmentations."""
+    v = segment.vocabulary(MODEL)
+    lattice = segment.Lattice(v)
+    buf = np.frombuffer(b" the", np.uint8)
+    lattice.place(buf, segment.Hasher(buf), np.array([0]), np.array([4]))
+    rest = [-np.expm1(x) for x in lattice.logp]
+    assert len(rest) > 4
+    own = v.weight.copy()
+    try:
+        piece = v.find(segment.Hasher(buf)(np.array([0]), np.array([4])))[0]
+        v.weight = np.where(np.arange(len(own)) == piece, 40.0, own)  # the whole word outweighs all else by e**40 and more
+        v.lattice = segment.Lattice(v)
+        got = drawn(["the"], 6)[0]
+        assert len(got) == len({g[0] for g in got}) == 6
+        assert got[0][1] > -1e-15 and all(g[1] < -36 for g in got[1:])
+    finally:
+        v.weight, v.lattice = own, segment.Lattice(v)
+
+
+def test_library_decodes_the_documents(spark, sf01):
+    """The ids that the operator gives for all documents, decoded by the library, are the texts."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    docs = spark.read.parquet(f"{sf01}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = segment.sample_segmentations(docs, MODEL).select("doc_id", "sample", "ids").collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    assert all(m.decode(list(r.ids)) == texts[r.doc_id] for r in rows)
+    assert len({(r.doc_id, tuple(r.ids)) for r in rows}) == len(rows)
+
+
 def test_library_decodes_the_samples():
     import sentencepiece
 

@@ -31,8 +31,9 @@ KEEP, SLOTS = 600_000, 1 << 19
 #: The weight of a byte piece; units of SHORT bytes have sums above the least double.
 BYTE_WEIGHT, SHORT = -12.0, 48
 #: Open nodes draw from 32-bit uniforms, for which -ln(-ln(u)) never exceeds TOP; so a node with a log-mass
-#: below an open value - TOP can't beat it. Edges whose likelihood is under LEAST beside the others count as none.
-TOP, DEEP, LEAST = 23.0, -34.0, 1e-15
+#: below an open value - TOP can't beat it. What is left beside an edge is 1 - its likelihood, and below LEAST, where
+#: that difference loses its digits, the sum of the other edges'.
+TOP, DEEP, LEAST = 23.0, -34.0, 1e-9
 _models: dict[str, "Vocabulary"] = {}
 
 
@@ -322,9 +323,12 @@ class Block:
         taken = np.uint64(1) << (path.edge[byte] - g.first[node]).astype(np.uint64)
         taken = np.where(byte == path.left[own], taken | path.taken[own], taken)
         rest = -np.expm1(g.logp[path.edge[byte]])
-        again = np.flatnonzero(taken & (taken - np.uint64(1)))  # more than one edge taken
+        several = (taken & (taken - np.uint64(1))) != 0  # more than one edge taken
+        forks = g.first[node + 1] - g.first[node] > 1
+        rest[~forks] = 0
+        again = np.flatnonzero((several | (rest <= LEAST)) & forks)
         rest[again] = g.others(node[again], taken[again])
-        some = np.flatnonzero(rest > LEAST)
+        some = np.flatnonzero(rest > 0)
         own, byte, doc = own[some], byte[some], doc[some]
         phi = run[step[some]] - base[own] + np.log(rest[some])
         u = np.floor(uniform(self.seed[doc], 128 + sample, byte - self.off[doc]) * 2.0**32) * 2.0**-32 + 2.0**-33
