@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from varlens.llm import near_dup
+from varlens.llm import near_dup, scratch
 
 
 def plain_classes(rows):
@@ -95,3 +95,37 @@ def test_pairs_that_differ_in_how_often_a_line_repeats_are_found(spark):
         words, line = ([f"w{rng.randrange(10**9)}" for _ in range(n)] for n in ((60, 20) if k % 2 else (100, 40)))
         rows += [(2 * k, " ".join(words + line)), (2 * k + 1, " ".join(words + line * (50 if k % 2 else 100)))]
     assert {(r.doc_id, r.class_id) for r in check(spark.createDataFrame(rows, "doc_id long, text string"))} == {(k, k - k % 2) for k in range(120)}
+
+
+def test_shuffled_joins_repeated_rows_and_clashing_names(spark, odd_docs, monkeypatch):
+    """The branch of large tables, without broadcasts, gives the same rows; columns may be named as those in use inside."""
+    docs = odd_docs.selectExpr("*", *[f"doc_id AS {c}" for c in ("node", "hash", "text_hash", "id", "many", "at", "row", "key", "kept", "comp")])
+    key = lambda df: sorted(map(str, df.collect()))
+    one, classes_ = key(near_dup.deduplicated(docs)), key(near_dup.classes(docs))
+    monkeypatch.setattr(scratch, "MOST_ROWS", 0)
+    assert one == key(near_dup.deduplicated(docs)) and classes_ == key(near_dup.classes(docs))
+    assert len(one) == len(classes_) - 3  # a repeated row, and of an empty and two null texts one stays
+    assert near_dup.deduplicated(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("similarity, least", [(0.8, 0.99), (0.85, 0.999), (0.9, 0.9999)])
+def test_recall_of_the_bands(similarity, least):
+    """Pairs of a given Jaccard similarity that share a bucket: the share is that of the formula, or more."""
+    rng = np.random.default_rng(4)
+    n, common = 200, round(2 * 200 * similarity / (1 + similarity))
+    keys = [np.sort(rng.integers(0, 2**63, 2 * n - common).astype(np.uint64)) for _ in range(400)]
+    sides = []
+    for cut in (slice(0, n), slice(-n, None)):
+        key = np.concatenate([k[cut] for k in keys])
+        sides.append(near_dup.bands(near_dup.signatures(key, np.repeat(np.arange(400), n), np.ones(len(key)), 400)))
+    assert (sides[0] == sides[1]).any(1).mean() >= least
+
+
+def test_equal_halves_of_two_shingles_are_not_common():
+    """Sets hold whole 64-bit shingles: values that agree in 32 bits alone count as different."""
+    import pyarrow as pa
+
+    x = np.arange(1, 11, dtype=np.uint64) << np.uint64(32)
+    pair = lambda a, b: pa.record_batch([pa.array([1]), pa.array([2]), pa.array([a.astype("<u8").tobytes()]), pa.array([b.astype("<u8").tobytes()])], list("abcd"))
+    assert next(near_dup._similar(iter([pair(x, x)]))).num_rows == 1
+    assert next(near_dup._similar(iter([pair(x, x + np.uint64(1))]))).num_rows == 0

@@ -99,9 +99,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs = hi - lo
             b = bands(signatures(key, doc, np.ones(len(key)), docs))
             n = np.bincount(doc, minlength=docs)
-            order = np.lexsort((key >> np.uint64(32), doc)) if len(key) else np.zeros(0, np.int64)
-            sets = (key[order] >> np.uint64(32)).astype("<u4").tobytes()
-            binary = pa.Array.from_buffers(pa.large_binary(), docs, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int64)), pa.py_buffer(sets)]).cast(pa.binary())
+            upto = np.concatenate([[0], np.cumsum(8 * n)]).astype(np.int64)
+            binary = pa.Array.from_buffers(pa.large_binary(), docs, [None, pa.py_buffer(upto), pa.py_buffer(key.astype("<u8").tobytes())]).cast(pa.binary())
             held = n > 0  # texts without words have no bands
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(BANDS * held)]), pa.int32()), pa.array(b[held].ravel().view(np.int64)))
             yield pa.record_batch([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(n, pa.int32()), binary, lists], ["doc_id", "node", "n_shingles", "shingle_set", "bands"])
@@ -121,8 +120,8 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, sa, sb = batch.columns
         keep = []
         for x, y in zip(sa, sb):
-            x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
-            both = np.sort(np.concatenate([x, y]))
+            x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+            both = np.sort(np.concatenate([x, y]), kind="stable")  # of two sorted runs of distinct values
             common = int((both[1:] == both[:-1]).sum())
             keep.append(common >= SIMILARITY * (len(both) - common))
         yield pa.record_batch([a, b], ["ca", "cb"]).filter(pa.array(keep, pa.bool_()))
@@ -184,12 +183,12 @@ def _block_links(table: pa.Table) -> pa.Table:
     The common shingles of all pairs are counted as products of 0/1 matrices, some columns at a time.
     """
     side, comp = np.asarray(table["side"].combine_chunks()), np.asarray(table["comp"].combine_chunks())
-    sets = [np.frombuffer(x.as_buffer(), "<u4") for x in table["shingle_set"].combine_chunks()]
+    sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table["shingle_set"].combine_chunks()]
     size = np.array([len(x) for x in sets])
     every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     order = np.argsort(every, kind="stable")
     every, of = every[order], of[order]
-    column = np.cumsum(np.diff(every, prepend=every[:1]) != 0)
+    column = np.cumsum(np.concatenate([[False], every[1:] != every[:-1]]))
     left, right = np.flatnonzero(side <= 0), np.flatnonzero(side != 0 if (side > 0).any() else side <= 0)
     common = np.zeros((len(left), len(right)), np.float32)
     for c in range(0, int(column[-1]) + 1, COLUMNS):
@@ -261,12 +260,20 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that classes() keeps, one of each class, with the columns of docs."""
+    """The rows of docs that classes() keeps, one of each class, with the columns of docs.
+
+    What joins with the texts is the ids and hashes of the rows to drop, and of those that are there more
+    than once; few enough, they are broadcast and no text is shuffled. Null and empty texts are texts like
+    others, so one row of each stays; an empty table stays empty. Columns of docs may have any names.
+    """
     id_, node, many, hash_ = fresh(docs, "id", "node", "many", "hash")
-    kept = classes(docs).where("kept").groupBy(F.col("doc_id").alias(id_), F.col("node").alias(node)).agg(F.count("*").alias(many))
-    kept = written(kept, "kept")
+    key = [F.col("doc_id").alias(id_), F.col("node").alias(node)]
+    pairs = classes(docs).groupBy(*key).agg(F.max("kept").alias("kept"), F.count("*").alias(many)).where(~F.col("kept") | (F.col(many) > 1))
+    pairs = written(pairs, "rows-to-drop")
     rows = docs.withColumn(hash_, text_hash())
-    out = rows.join(small(kept.select(id_, node)), rows["doc_id"].eqNullSafe(F.col(id_)) & (rows[hash_] == F.col(node)), "left_semi")
-    if not kept.where(F.col(many) > 1).isEmpty():
-        out = out.dropDuplicates(["doc_id", hash_])
+    same = rows["doc_id"].eqNullSafe(F.col(id_)) & (rows[hash_] == F.col(node))
+    out = rows.join(small(pairs.select(id_, node)), same, "left_anti")
+    again = pairs.where("kept").select(id_, node)
+    if not again.isEmpty():
+        out = out.unionByName(rows.join(small(again), same, "left_semi").dropDuplicates(["doc_id", hash_]))
     return out.drop(hash_)
