@@ -10,11 +10,12 @@ with `<|im_again|>`. Control strings of this and other usual templates inside te
 more behind their first character; reading takes it away again.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Tokens of a window, of its repeated history, and those that a turn's marks count as.
 BUDGET, HISTORY, MARKS = 512, 128, 4
+PART = 256
 START, AGAIN, END = "<|im_start|>", "<|im_again|>", "<|im_end|>"
 #: What follows `<` or `[` in control strings.
 CONTROL = r"\||/?s>|</?SYS>>|/?INST\]"
@@ -41,25 +42,30 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     of its own, whole. Repeated rows are turns of their own; an empty table has no windows. The turns of
     one conversation are put together in one row.
     """
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = conversations.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    count = rf"CAST({MARKS} + regexp_count(t.text, {_sql(r'[^\x20\x09-\x0D]+')}) AS BIGINT)"
-    rows = rows.withColumn("turns", F.expr(f"transform(turns, t -> named_struct('role', t.role, 'text', t.text, 'tokens', {count}))"))
+    count = rf"CAST({MARKS} + regexp_count(text, {_sql(r'[^\x20\x09-\x0D]+')}) AS BIGINT)"
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tokens", F.expr(count))
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    rows = rows.withColumns({"k": F.row_number().over(order) - 1, "upto": F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    turn = F.struct("k", "role", "text", "tokens", (F.col("upto") - F.col("tokens")).alias("before"))
+    rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     rows = rows.withColumn("system", F.expr("IF(turns[0].role = 'system', turns[0].tokens, 0L)"))
     room = f"greatest({budget - history} - system, 1)"
-    over = f"(a.upto > a.base AND a.upto + t.tokens - a.base > {room})"
-    rows = rows.withColumn("cut", F.expr(f"""aggregate(turns,
-        named_struct('before', CAST(array() AS ARRAY<BIGINT>), 'starts', CAST(array() AS ARRAY<INT>), 'upto', 0L, 'base', 0L),
-        (a, t) -> named_struct('before', array_append(a.before, a.upto),
-          'starts', IF({over} OR size(a.before) = 0, array_append(a.starts, size(a.before)), a.starts),
-          'upto', a.upto + t.tokens, 'base', IF({over}, a.upto, a.base)))"""))
-    rows = rows.select("conv_id", "turns", F.col("cut.before").alias("before"), F.col("cut.starts").alias("starts"), F.posexplode("cut.starts").alias("window", "lo"))
-    rows = rows.withColumn("hi", F.expr("IF(window + 1 < size(starts), starts[window + 1], size(turns))"))
+    over = f"t.before > b.base AND t.before + t.tokens - b.base > {room}"
+    # in parts of PART turns, as each array_append copies what it appends to
+    rows = rows.withColumn("starts", F.expr(f"""aggregate(
+        transform(sequence(0, (size(turns) - 1) DIV {PART}), p -> slice(turns, p * {PART} + 1, {PART})),
+        named_struct('done', CAST(array() AS ARRAY<ARRAY<INT>>), 'now', named_struct('starts', array(0), 'base', 0L)),
+        (a, part) -> named_struct('done', array_append(a.done, a.now.starts), 'now', aggregate(part, named_struct('starts', CAST(array() AS ARRAY<INT>), 'base', a.now.base),
+          (b, t) -> named_struct('starts', IF({over}, array_append(b.starts, t.k), b.starts), 'base', IF({over}, t.before, b.base)))),
+        a -> flatten(array_append(a.done, a.now.starts)))"""))
     back = history // MARKS  # turns that the history can have at most
     first = f"greatest(lo - {back}, IF(turns[0].role = 'system', 1, 0))"
     near = f"IF({first} < lo, slice(turns, {first} + 1, lo - {first}), slice(turns, 1, 0))"
     head = "IF(lo > 0 AND turns[0].role = 'system', slice(turns, 1, 1), slice(turns, 1, 0))"
-    rows = rows.select("conv_id", "window", F.expr("slice(turns, lo + 1, hi - lo)").alias("own"), F.expr(f"concat({head}, filter({near}, (t, i) -> before[lo] - before[{first} + i] <= {history}))").alias("again"))
+    own = "slice(turns, lo + 1, IF(w + 1 < size(starts), starts[w + 1], size(turns)) - lo)"
+    # cut before they are made rows, so that no row but the first has all turns
+    spans = f"transform(starts, (lo, w) -> named_struct('window', w, 'own', {own}, 'again', concat({head}, filter({near}, t -> turns[lo].before - t.before <= {history}))))"
+    rows = rows.withColumn("spans", F.expr(spans)).select("conv_id", F.inline("spans"))
     shown = lambda mark: f"concat({_sql(mark)}, url_encode(t.role), char(10), {escaped('t.text')}, {_sql(END)}, char(10))"
     rows = rows.withColumns({"a": F.expr(f"array_join(transform(again, t -> {shown(AGAIN)}), '')"), "o": F.expr(f"transform(own, t -> {shown(START)})")})
     loss = f"""aggregate(sequence(0, size(own) - 1), named_struct('at', CAST(length(a) AS BIGINT), 'out', CAST(array() AS ARRAY<STRUCT<start: BIGINT, length: BIGINT>>)),
