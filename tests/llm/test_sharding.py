@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter
 
+import pytest
+
 from varlens.llm import queries, sharding
 
 
@@ -16,11 +18,32 @@ def test_places_sizes_and_growth(spark, sf01):
     assert len(rows) == len(texts) and set(by) == set(range(8))
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
     # the id and the shard count alone decide
-    few = sharding.shard_rows(spark.read.parquet(f"{sf01}/documents.parquet").where("doc_id % 3 = 0"), sharding.first_map(8))
+    few = sharding.shard_rows(spark.read.parquet(f"{sf01}/documents.parquet").where("doc_id % 3 = 0"), {"shard": sharding.first_map(8)})
     where = {r.doc_id: r.shard for r in rows}
     assert all(where[r.doc_id] == r.shard for r in few.collect())
 
 
+def test_query_equals_brute_force(spark, sf01):
+    """Shards, growth, slot bytes and rebalancing recomputed in Python from the rows' slots alone."""
+    rows = queries.op10_virtual_slots(spark, sf01).collect()
+    ids = spark.createDataFrame([(r.doc_id,) for r in rows], "doc_id long").selectExpr("doc_id", "pmod(xxhash64(CAST(doc_id AS STRING)), 4096) AS v").collect()
+    slot = {r.doc_id: r.v for r in ids}
+    held = Counter()
+    for r in rows:
+        held[slot[r.doc_id]] += r.size
+    owned = {s: list(range(s, 4096, 8)) for s in range(8)}
+    taken = set()
+    while len(taken) < 4096 // 9:
+        taken.add(max(owned.values(), key=lambda x: (len(x), -x[0])).pop())
+    for r in rows:
+        v = slot[r.doc_id]
+        assert (r.vslot, r.vslot_bytes, r.shard, r.grown_shard) == (v, held[v], v % 8, 8 if v in taken else v % 8)
+    load, moved = Counter(), {r.vslot for r in rows if r.balanced_shard != r.grown_shard}
+    for r in rows:
+        load[r.balanced_shard] += r.size
+    assert len(load) == 9 and max(load.values()) <= max(1.05 * sum(load.values()) / 9, max(held.values())) and len(moved) < 400
+
+
 def test_maps():
     one = sharding.first_map(8)
     two = sharding.grown(one)
@@ -47,14 +70,26 @@ def test_stored_versions(spark, tmp_path):
     sharding.save_map(spark, sharding.grown(one), str(tmp_path / "map"))
     assert sharding.load_map(spark, str(tmp_path / "map")) == sharding.grown(one)
     assert sharding.load_map(spark, str(tmp_path / "map"), 1) == one
+    with pytest.raises(ValueError):
+        sharding.save_map(spark, one, str(tmp_path / "map"))
 
 
 def test_odd_rows(odd_docs, no_docs):
-    rows = sharding.shard_rows(odd_docs, sharding.first_map(8)).collect()
+    rows = sharding.shard_rows(odd_docs, {"shard": sharding.first_map(8)}).collect()
     by = {}
     for r in rows:
         by.setdefault(r.shard, []).append(r.slot)
     assert len(rows) == odd_docs.count() and all(sorted(s) == list(range(len(s))) for s in by.values())
     assert len({r.shard for r in rows if r.doc_id == 1}) == 1 and len({r.shard for r in rows if r.doc_id is None}) == 1
-    assert sharding.shard_rows(no_docs, sharding.first_map(8)).count() == 0
+    assert sharding.shard_rows(no_docs, {"shard": sharding.first_map(8)}).count() == 0
     assert sum(r.bytes for r in sharding.slot_bytes(sharding.sized_rows(odd_docs)).collect()) == sum(r["size"] for r in rows)
+
+
+def test_a_hot_id_is_dealt_over_parts(spark):
+    rows = spark.range(3000).selectExpr("IF(id % 3 = 0, 7L, id) AS doc_id", "'same' AS text")
+    got = sharding.shard_rows(rows, {"shard": sharding.first_map(4)}).collect()
+    assert len({r.salt for r in got if r.doc_id == 7}) > 100 and len({r.shard for r in got if r.doc_id == 7}) == 1
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())

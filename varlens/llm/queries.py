@@ -2,14 +2,14 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, hmm, language, near_dup, quality, secrets, segment, sharding, token_shards
+from .scratch import new_path, small_batches
 
-from .scratch import small_batches
-
-TOKENIZERS = "/opt/tokenizers"
+WORD_MODEL, PIECE_MODEL = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +30,7 @@ def op1_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    base, manifest = token_shards.write_shards(docs, f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
+    base, manifest = token_shards.write_shards(docs, WORD_MODEL, end_id=2)
     return token_shards.read_keys(docs, base, manifest)
 
 
@@ -51,12 +51,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_gumbel_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.sample_segmentations(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model").drop("ids")
+    return segment.sample_segmentations(table(spark, sf_dir, "documents"), PIECE_MODEL).drop("ids")
 
 
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turn = F.col("id")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), turn.alias("turn"), F.when(turn == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return chat.digests(chat.windows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)))
 
 
@@ -69,9 +70,14 @@ def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    current = sharding.first_map(8)
-    rows = sharding.shard_rows(table(spark, sf_dir, "documents"), current, sharding.grown(current))
-    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "vslot")
+    docs, maps = table(spark, sf_dir, "documents"), new_path(spark, "slot-maps")
+    sharding.save_map(spark, sharding.first_map(8), maps)
+    sharding.save_map(spark, sharding.grown(sharding.load_map(spark, maps, 1)), maps)
+    sizes = sharding.slot_bytes(sharding.sized_rows(docs))
+    held = {r.vslot: r.bytes for r in sizes.collect()}  # SLOTS rows at most
+    sharding.save_map(spark, sharding.rebalanced(sharding.load_map(spark, maps, 2), held), maps)
+    rows = sharding.shard_rows(docs, {name: sharding.load_map(spark, maps, k) for k, name in ((1, "shard"), (2, "grown_shard"), (3, "balanced_shard"))}, sizes)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "vslot", "vslot_bytes", "balanced_shard")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

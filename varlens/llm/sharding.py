@@ -8,8 +8,11 @@ rows of edited slots move. The map has SLOTS rows at most, whatever the corpus h
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import there, written
+
 SLOTS = 4096
-SALTS = 16
+#: Parts that a slot's rows are dealt into to be numbered.
+SALTS = 256
 MAP = "version long, vslot int, shard int"
 
 
@@ -66,13 +69,21 @@ def map_table(spark: SparkSession, rows: list[tuple[int, int, int]]) -> DataFram
 
 
 def save_map(spark: SparkSession, rows: list[tuple[int, int, int]], path: str) -> None:
-    """Append one version of a map to the table at path; older versions stay readable."""
-    map_table(spark, rows).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Add one version of a map to the table at path; older versions stay readable, and a version is written once."""
+    version = rows[0][0]
+    if version in {r.version for r in stored_maps(spark, path).select("version").distinct().collect()}:
+        raise ValueError(f"version {version} of the slot map at {path} is there already")
+    map_table(spark, rows).coalesce(1).write.mode("append").parquet(path)
+
+
+def stored_maps(spark: SparkSession, path: str) -> DataFrame:
+    """All versions of the map at path; none where nothing is stored yet."""
+    return spark.read.schema(MAP).parquet(path) if there(spark, path) else map_table(spark, [])
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> list[tuple[int, int, int]]:
     """A version of the map, the latest by default: SLOTS rows."""
-    df = spark.read.schema(MAP).parquet(path)
+    df = stored_maps(spark, path)
     version = version or df.agg(F.max("version")).first()[0]
     return sorted((r.version, r.vslot, r.shard) for r in df.where(F.col("version") == version).collect())
 
@@ -88,23 +99,28 @@ def sized_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"), vslot(F.col("doc_id")).alias("vslot"))
 
 
-def shard_rows(docs: DataFrame, current: list[tuple[int, int, int]], following: list[tuple[int, int, int]] | None = None) -> DataFrame:
-    """Each row with its shard, its place there (slot: gapless from 0) and its shard under a following map.
+def shard_rows(docs: DataFrame, maps: dict[str, list[tuple[int, int, int]]], sizes: DataFrame | None = None) -> DataFrame:
+    """Each row with its shard under each of the maps (name of the column -> map), and its place in the shard of the first
+    one (slot: gapless from 0). sizes (slot_bytes()) adds vslot_bytes, the bytes of the row's virtual slot.
 
-    Places are counted over (slot, salt) groups, a few rows each, and offset by a running sum over those
-    groups' counts; so no task ever holds a shard. Equal ids share a slot; repeated rows keep one place
-    each, in an order of their own; an empty table gives an empty result.
+    Rows of a virtual slot are dealt into SALTS parts whatever they hold, and counted in them; a part begins
+    where the parts before it end. So no task holds a shard or all rows of one id. Which part a row is in is
+    written down first, so that a task that runs again finds it there. Equal ids share a slot; repeated rows
+    have a place each; null and empty texts have size 1, very long ones count whole; an empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
-    rows = sized_rows(docs).withColumn("salt", F.pmod(F.xxhash64("text_crc32", "doc_id"), F.lit(SALTS)).cast("int"))
-    both = map_table(spark, current).select("vslot", "shard")
-    if following is None:
-        both = both.withColumn("grown_shard", F.lit(None).cast("int"))
-    else:
-        both = both.join(map_table(spark, following).select("vslot", F.col("shard").alias("grown_shard")), "vslot")
-    rows = rows.join(F.broadcast(both), "vslot")  # SLOTS rows
-    groups = rows.groupBy("shard", "vslot", "salt").agg(F.count("*").alias("n"))  # SLOTS * SALTS rows at most
-    before = Window.partitionBy("shard").orderBy("vslot", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    rows = written(sized_rows(docs).withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")), "sized-rows")
+    slots = None
+    for name, rows_ in maps.items():
+        one = map_table(spark, rows_).select("vslot", F.col("shard").alias(name))
+        slots = one if slots is None else slots.join(one, "vslot")
+    if sizes is not None:
+        slots = slots.join(sizes.select("vslot", F.col("bytes").alias("vslot_bytes")), "vslot", "left")
+    rows = rows.join(F.broadcast(slots), "vslot")  # SLOTS rows
+    shard = next(iter(maps))
+    groups = rows.groupBy(shard, "vslot", "salt").agg(F.count("*").alias("n"))  # SLOTS * SALTS rows at most
+    before = Window.partitionBy(shard).orderBy("vslot", "salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select("vslot", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     place = F.row_number().over(Window.partitionBy("vslot", "salt").orderBy("doc_id", "text_crc32", "size"))
     return rows.withColumn("place", place).join(groups, ["vslot", "salt"]).withColumn("slot", F.col("base") + F.col("place") - 1)
