@@ -47,7 +47,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def sample_segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of each row's text with their ids, several rows for each."""
-    return segment.sample_segmentations(docs, f"{queries.TOKENIZERS}/piece_bpe_32k.model")
+    return segment.sample_segmentations(docs, queries.PIECE_MODEL)
 
 
 STAGES = [
