@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import fresh, small, written
-from .words import LOWER, STEP, Hasher, blocks, mix, ranges, word_spans
+from .words import LOWER, STEP, Hasher, blocks, mix, ranges, released, word_spans
 
 #: Fixed masks: each selects six tokens. Every stretch of LEAST_EQUAL equal tokens at LEAST_SHARE has a window in which one of
 #: them meets equal tokens alone, wherever the others lie (a test goes through all placements), so no overlap goes unseen.
@@ -132,6 +132,7 @@ def _segments(bloom: np.ndarray, margin: int, short: list[int]):
                 hits = pa.ListArray.from_arrays(pa.array(np.append(first, len(pos)), pa.int32()), hit)
                 rows = pa.array(d + lo)
                 yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array((a - wo[d]).astype(np.int32)), words, hits], ["doc_id", "text_hash", "first_token", "words", "hits"])
+        released()
 
     return task
 

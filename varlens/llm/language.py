@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import LOWER, blocks, mix, ranges
+from .words import LOWER, blocks, mix, ranges, released
 
 GRAM, HASHES, ROWS, WORD = 4, 3, 1 << 18, 64
 #: An n-gram is typical of a language if it is in this share of the language's documents.
@@ -167,6 +167,7 @@ def predict(docs: DataFrame, f: Filters | None) -> DataFrame:
             best, scores = np.concatenate(best), np.concatenate(scores, 1)
             lang = pa.array([f.langs[i] if i >= 0 else "und" for i in best], pa.string())
             yield pa.record_batch([*batch.columns, lang, *(pa.array(s, pa.float64()) for s in scores)], [*batch.schema.names, *ADDED])
+        released()
 
     keep = docs.drop(*ADDED)
     return keep.mapInArrow(task, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields) + ", lang_pred string, score double, coverage double, margin double")

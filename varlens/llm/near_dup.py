@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import fresh, small, written
-from .words import STEP, Hasher, blocks, mix, ranges, windows, word_spans
+from .words import STEP, Hasher, blocks, mix, ranges, released, windows, word_spans
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares a band with a chance of 1 - (1 - 0.8**7)**36 = 0.9998.
@@ -104,6 +104,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = n > 0  # texts without words have no bands
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(BANDS * held)]), pa.int32()), pa.array(b[held].ravel().view(np.int64)))
             yield pa.record_batch([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(n, pa.int32()), binary, lists], ["doc_id", "node", "n_shingles", "shingle_set", "bands"])
+    released()
 
 
 def text_hash() -> F.Column:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import GOLDEN, Hasher, Lookup, blocks, mix, ranges
+from .words import GOLDEN, Hasher, Lookup, blocks, mix, ranges, released
 
 K, BLOCK = 3, 1 << 18
 #: Nodes of units kept between blocks, and slots to find the units by.
@@ -406,6 +406,8 @@ def _task(model: str, k: int):
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
                     rows = [pa.array(np.full(len(docs), number, np.int32)), lists, *map(pa.array, (size, np.array(crc, np.int64), np.array(back, np.int64), logp, value, inclusion))]
                     yield pa.record_batch([batch.column(0)[lo:hi].take(pa.array(docs)), *rows], ["doc_id", *SAMPLE])
+        v.lattice = Lattice(v)
+        released()
 
     return task
 
@@ -419,8 +421,9 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = K) -> DataFrame:
     ids are the segmentation's piece ids, n_tokens their number; decoded() gives their text. ids_crc32 (of
     the ids as little-endian u32) and decoded_crc32 (of the bytes they decode to, the text's own) are
     digests of them for checks. log_inclusion is ln of the chance that the segmentation is
-    among the k (0 where all there are were given). A null or empty text has one empty segmentation;
-    rows of equal doc_id and text get equal samples; a null doc_id draws as 0 does.
+    among the k (0 where all there are were given). A null or empty text has one empty segmentation, a very
+    long one is searched whole; rows of equal doc_id and text get equal samples; a null doc_id draws as 0
+    does; an empty table gives no rows.
     """
     return docs.select("doc_id", "text").mapInArrow(_task(model, k), "doc_id long, " + ", ".join(f"{c} {t}" for c, t in SAMPLE.items()))
 

@@ -6,6 +6,9 @@ compared by 64-bit hashes (a polynomial over random byte codes, then a finaliser
 words are taken for equal with a chance near 2**-64 a pair.
 """
 
+import ctypes
+import ctypes.util
+
 import numpy as np
 import pyarrow as pa
 
@@ -44,6 +47,16 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def released() -> None:
+    """Give memory that a finished task leaves unused back to the system: its Python worker lives on, idle, beside the executor."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if name := ctypes.util.find_library("c"):
+        trim = getattr(ctypes.CDLL(name), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and each row's offset; a null counts as an empty text."""
     col = batch.column(batch.schema.get_field_index(name))
