@@ -181,7 +181,7 @@ def labelled_findings(spark: SparkSession, examples: int = EXAMPLES) -> DataFram
     # what stands after a secret's name without being one: words, placeholders, expressions, masks
     blank = pick(
         "b", word("a"), word("b"), f"initcap({word('c')})", f"concat({word('a')}, '_', {word('b')})", f"concat('<', {word('a')}, '>')", f"concat(char(36), '{{', upper({word('b')}), '}}')", f"concat({word('a')}, '.', {word('b')}, '(')", f"concat({word('a')}, '(', {word('b')})",
-        "'changeme'", "'your_password_here'", "repeat('*', CAST(6 + pmod(id, 8) AS INT))", "repeat('x', CAST(6 + pmod(id, 8) AS INT))", "'none'", "'true'", "'null'", "CAST(pmod(id, 60) AS STRING)", f"concat({word('a')}, '-', {word('b')})", f"concat('process.env.', upper({word('c')}))",
+        "'changeme'", "'your_password_here'", "'[SECRET'", "'[REDACTED'", "repeat('*', CAST(6 + pmod(id, 8) AS INT))", "repeat('x', CAST(6 + pmod(id, 8) AS INT))", "'none'", "'true'", "'null'", "CAST(pmod(id, 60) AS STRING)", f"concat({word('a')}, '-', {word('b')})", f"concat('process.env.', upper({word('c')}))",
     )
     made_up = "concat(" + ", ".join(pick(f"m{k}", *text(*m)) for k, m in enumerate((("", "re", "pa", "ne", "un", "ca", "be", "to"), ("ver", "ti", "qui", "mo", "len", "sta", "ri", "go"), ("ence", "red", "n", "ment", "ing", "ly", "ter", "")))) + ")"
     blank = f"CASE WHEN pmod(xxhash64(id, 'made'), 4) = 0 THEN {made_up} ELSE {blank} END"
@@ -203,27 +203,27 @@ def train(findings: DataFrame) -> RandomForestClassificationModel:
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label").fit(rows.select("features", "label"))
 
 
-def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+def scan(docs: DataFrame, findings: DataFrame | None = None, model: RandomForestClassificationModel | None = None) -> DataFrame:
     """All candidates of docs with score (the forest's chance of a secret) and is_secret.
 
-    findings: labelled ones to learn from; those of labelled_findings() if none are given. Null and empty
-    texts have no candidates, very long ones are scanned whole, repeated rows each have their candidates;
+    findings: labelled ones to learn from; those of labelled_findings() if neither they nor a model of
+    train() are given. Null and empty texts have no candidates, very long ones are scanned whole, repeated rows each have their candidates;
     an empty table gives no rows.
     """
-    model = train(labelled_findings(docs.sparkSession) if findings is None else findings)
+    model = model or train(labelled_findings(docs.sparkSession) if findings is None else findings)
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform(features(with_words(candidates(docs), docs)))
     score = vector_to_array("probability")[1]
     return model.transform(rows).withColumn("score", score).withColumn("is_secret", F.col("score") >= THRESHOLD).drop(*FEATURES, "in_corpus", "features", "probability", "rawPrediction", "prediction")
 
 
-def redacted(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+def redacted(docs: DataFrame, findings: DataFrame | None = None, model: RandomForestClassificationModel | None = None) -> DataFrame:
     """docs with every secret replaced by REDACTED, and n_chars (where docs has it) brought up to date.
 
     All rows and all other characters stay as they are, null and empty texts and control characters among
     them; repeated rows are redacted alike. Columns of docs may have any names.
     """
     id_, text, hash_, at = fresh(docs, "id", "text_hash", "hash", "at")
-    found = scan(docs, findings).where("is_secret").groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(text)).agg(F.collect_set("ordinal").alias(at))
+    found = scan(docs, findings, model).where("is_secret").groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(text)).agg(F.collect_set("ordinal").alias(at))
     found = written(found, "secrets")
     rows = docs.withColumn(hash_, text_hash())
     rows = rows.join(small(found), rows["doc_id"].eqNullSafe(F.col(id_)) & (rows[hash_] == F.col(text)), "left")
